@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import docpairs, leakage, provenance, reading, tokens
+from graphloom.llm import docpairs, leakage, provenance, reading, tokens, validity
 from graphloom.sources.tables import table
 
 
@@ -19,6 +19,18 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(table(spark, d, "nodes"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return validity.unparsable(table(spark, d, "sources"), table(spark, d, "files")).select("path")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.rates(table(spark, d, "sources"), table(spark, d, "files"))
+
+
+def p5_causes(spark: SparkSession, d: str) -> DataFrame:
+    return validity.unparsable(table(spark, d, "sources"), table(spark, d, "files")).groupBy("language", "cause").agg(F.count("*").alias("files"), F.sum("cost").alias("edits"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.judged(table(spark, d, "sources")).select("path").distinct()
 
@@ -55,7 +67,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p7_found, p7_reasons, p8_ids, p8_round_trip, p9_found, p9_items, p10_found, p10_profile)
+    f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_rates, p5_causes, p7_found, p7_reasons, p8_ids, p8_round_trip, p9_found, p9_items, p10_found, p10_profile)
 }
 
 SQL: dict[str, str] = {}
