@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import cypher_queries, general
+from graphloom.plans import cypher_queries, general, graph_queries
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return general.p2_found(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES, **cypher_queries.QUERIES}
-SQL: dict[str, str] = {**general.SQL, **cypher_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES, **cypher_queries.QUERIES, **graph_queries.QUERIES}
+SQL: dict[str, str] = {**general.SQL, **cypher_queries.SQL, **graph_queries.SQL}
