@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import analytics_queries, cypher_queries, general, graph_queries
+from graphloom.plans import analytics_queries, cypher_queries, general, graph_queries, search_queries
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return general.p2_found(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES, **cypher_queries.QUERIES, **graph_queries.QUERIES, **analytics_queries.QUERIES}
-SQL: dict[str, str] = {**general.SQL, **cypher_queries.SQL, **graph_queries.SQL, **analytics_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES, **cypher_queries.QUERIES, **graph_queries.QUERIES, **analytics_queries.QUERIES, **search_queries.QUERIES}
+SQL: dict[str, str] = {**general.SQL, **cypher_queries.SQL, **graph_queries.SQL, **analytics_queries.SQL, **search_queries.SQL}
