@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application; they need not have it installed, nor share the driver's folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graphloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="graphloom-code-")) / "graphloom.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._graphloom_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared folder, so that a lost executor costs no recomputation of the loop."""
     spark = df.sparkSession
@@ -35,6 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` over as many partitions as the session shuffles into, before work that is heavy for the rows' size; adaptive execution would put small rows together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows

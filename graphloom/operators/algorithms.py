@@ -51,12 +51,13 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     found = every.filter("source = target").select(F.col("source").alias("id"))
     rest = every.filter("source <> target")
     while True:
-        while True:  # trim
-            rest = cut(rest)
-            size = rest.count()
+        rest = cut(rest)
+        size = rest.count()
+        while size:  # trim
             into, out = rest.select(F.col("target").alias("k")).distinct(), rest.select(F.col("source").alias("k")).distinct()
             rest = cut(rest.join(into, rest.source == into.k, "left_semi").join(out, rest.target == out.k, "left_semi"))
-            if rest.count() == size:
+            size, before = rest.count(), size
+            if size == before:
                 break
         if rest.isEmpty():
             return found.distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.cluster import cut, spread
+
 #: Least similarity of the fuzzy step, exclusive.
 FUZZY = 0.7
 
@@ -71,18 +73,20 @@ def match_template(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 def match_fuzzy(calls: DataFrame, routes: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """Similarity of letter pairs above the threshold. Distinct urls meet on their rarest pairs only (prefix filter), never all with all."""
-    urls = calls.select("method", "url").unionByName(routes.select("method", "url")).distinct().select("method", "url", bigrams(F.col("url")).alias("g")).filter(F.size("g") > 0)
+    urls = calls.select("method", "url").unionByName(routes.select("method", "url")).filter(F.length("url") > 1).distinct()
+    urls = cut(urls.select("method", "url", bigrams(F.col("url")).alias("g")))
     rarity = urls.select(F.explode("g").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
     items = urls.select("method", "url", F.size("g").alias("n"), F.explode("g").alias("x")).join(rarity, "x")
     ordered = items.groupBy("method", "url", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
     keep = (F.col("n") - F.floor(F.lit(threshold) * F.col("n")) + 1).cast("int")
-    prefix = ordered.select("method", "url", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("s")).select("method", "url", "n", F.col("s.x").alias("x"))
-    a = prefix.join(calls.select("method", "url").distinct(), ["method", "url"], "left_semi").select("method", F.col("url").alias("cu"), F.col("n").alias("cn"), "x")
-    b = prefix.join(routes.select("method", "url").distinct(), ["method", "url"], "left_semi").select("method", F.col("url").alias("ru"), F.col("n").alias("rn"), "x")
-    met = a.join(b, ["method", "x"]).filter((F.col("cn") > threshold * F.col("rn")) & (F.col("rn") > threshold * F.col("cn"))).select("method", "cu", "ru").distinct()
-    both = F.size(F.array_intersect(bigrams(F.col("cu")), bigrams(F.col("ru"))))
-    either = F.size(F.array_union(bigrams(F.col("cu")), bigrams(F.col("ru"))))
-    near = met.withColumn("confidence", both / either).filter(F.col("confidence") > threshold)
+    prefix = cut(ordered.select("method", "url", "n", F.posexplode(F.slice("s", F.lit(1), keep)).alias("pos", "s")).select("method", "url", "n", "pos", F.col("s.x").alias("x")))
+    a = prefix.join(calls.select("method", "url").distinct(), ["method", "url"], "left_semi").select("method", F.col("url").alias("cu"), F.col("n").alias("cn"), F.col("pos").alias("cp"), "x")
+    b = prefix.join(routes.select("method", "url").distinct(), ["method", "url"], "left_semi").select("method", F.col("url").alias("ru"), F.col("n").alias("rn"), F.col("pos").alias("rp"), "x")
+    fits = (F.col("cn") > threshold * F.col("rn")) & (F.col("rn") > threshold * F.col("cn"))
+    left = 1 + F.least(F.col("cn") - F.col("cp") - 1, F.col("rn") - F.col("rp") - 1)  # the most they can still share
+    met = spread(a, "method", "x").join(b, ["method", "x"]).filter(fits & (left > threshold / (1 + threshold) * (F.col("cn") + F.col("rn")) - 1e-9)).select("method", "cu", "ru").distinct()
+    met = met.join(urls.select("method", F.col("url").alias("cu"), F.col("g").alias("cg")), ["method", "cu"]).join(urls.select("method", F.col("url").alias("ru"), F.col("g").alias("rg")), ["method", "ru"])
+    near = met.withColumn("i", F.size(F.array_intersect("cg", "rg"))).withColumn("confidence", F.col("i") / (F.size("cg") + F.size("rg") - F.col("i"))).filter(F.col("confidence") > threshold).drop("cg", "rg", "i")
     pairs = near.join(calls.select("call_id", "method", F.col("url").alias("cu")), ["method", "cu"]).join(routes.select("route_id", "method", F.col("url").alias("ru")), ["method", "ru"])
     before = match_exact(calls, routes).select("call_id", "route_id").unionByName(match_template(calls, routes).select("call_id", "route_id"))
     return pairs.join(before, ["call_id", "route_id"], "left_anti").select("call_id", "route_id", F.lit("fuzzy").alias("match"), F.round("confidence", 6).alias("confidence"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.cluster import cut
+from graphloom.cluster import cut, spread
 
 # Fixed values of the signatures: permutations, seed, and the Mersenne prime they work under.
 PERMUTATIONS, SEED, PRIME = 128, 42, (1 << 61) - 1
@@ -91,7 +91,7 @@ def similarity_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "item")
     b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "item")
     need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
-    met = a.join(b, "item").filter("a < b").filter((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
+    met = spread(a, "item").join(b, "item").filter("a < b").filter((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
     met = met.filter(1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need).select("a", "b").distinct()
     left = one.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = one.select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -116,6 +116,7 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
 def clones(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, class, copies, links: each symbol (id, items) with its class, the symbols whose set equals its own, and how many other
     different sets are similar to it. Symbols of empty sets stand alone."""
+    sets = cut(sets.select("id", "items"))
     keyed = sets.select("id", F.array_sort("items").alias("items")).withColumn("key", F.sha2(F.concat_ws("\x00", "items"), 256)).filter(F.size("items") > 0)
     group = cut(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("items", "id").alias("items")))
     links = cut(similarity_links(group.select(F.col("rep").alias("id"), "items"), threshold))

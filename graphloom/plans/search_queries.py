@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.cluster import cut
 from graphloom.functions import code
 from graphloom.graph import PropertyGraph
 from graphloom.operators import analytics, crosstier, diff, search, similarity, traverse
@@ -86,8 +87,8 @@ SQL["vector_topk"] = """SELECT query_id, id, round(s, 6) AS similarity, rank FRO
 
 def _bodies(g: PropertyGraph) -> DataFrame:
     """Shingles of normalised tokens of every function and method body."""
-    f = analytics.functions(g, "body").filter("body is not null")
-    return f.select("id", similarity.shingles(code.ast_tokens(F.col("body"))).alias("items"))
+    f = analytics.functions(g, "body").filter("body is not null").select("id", code.ast_tokens(F.col("body")).alias("t"))
+    return f.select("id", similarity.shingles(F.col("t")).alias("items"))  # a column of its own: within the lambda it would be computed for each shingle
 
 
 def _names(g: PropertyGraph) -> DataFrame:
@@ -116,13 +117,11 @@ add("clones_minhash", lambda g: similarity.clones(_bodies(g)), _clones_sql(
 add("clones_exact_jaccard", lambda g: similarity.clones(_names(g)), _clones_sql(
     "SELECT id, list_distinct(list_concat(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, signature)), '[^a-z0-9]+'), lambda w: length(w) > 1), CASE WHEN length(coalesce(name, '')) < 2 THEN [] ELSE list_transform(range(1, length(name)), lambda i: '__bigram_' || substr(lower(name), i, 2)) END)) AS items FROM n WHERE kind IN ('function', 'method')"))
 add("minhash_sig", lambda g: similarity.signatures(_bodies(g)).select("id", F.concat_ws(",", F.transform("sig", lambda x: x.cast("string"))).alias("sig")))
-add("lsh_pairs", lambda g: similarity.band_groups(similarity.signatures(_bodies(g))))
+add("lsh_pairs", lambda g: similarity.band_groups(cut(similarity.signatures(_bodies(g)))))
 
 
 def _estimate(g: PropertyGraph) -> DataFrame:
     """Each body against the smallest body it shares a bucket with."""
-    from graphloom.cluster import cut
-
     s = cut(similarity.signatures(_bodies(g)))
     other = s.select(F.col("id").alias("group"), F.col("sig").alias("sig2"))
     return similarity.band_groups(s).join(s, "id").join(other, "group").select("id", "group", F.round(code.matching_share(F.col("sig"), F.col("sig2")), 6).alias("similarity"))
@@ -213,8 +212,6 @@ add("cross_lang_edges", _cross, graph_sql("SELECT a AS source, b AS target, kind
 
 def _annotated(g: PropertyGraph, s: SparkSession, d: str) -> DataFrame:
     """What each removed symbol reaches within two steps over calls and tier links: the smallest shortest path, and how many of its steps cross tiers."""
-    from graphloom.cluster import cut
-
     cross = cut(_cross(g))
     calls = g.links("calls")
     links = calls.unionByName(cross.select("source", "target")).distinct()
