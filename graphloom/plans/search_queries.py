@@ -14,6 +14,7 @@ from graphloom.operators import analytics, crosstier, diff, search, similarity,
 from graphloom.plans.analytics_queries import _TOKENS_SQL
 from graphloom.plans.base import Query, graph_sql
 from graphloom.plans.graph_queries import _SEEDS, _removed
+from graphloom.sources import extract
 from graphloom.sources.tables import table
 from graphloom.streaming import watch
 
@@ -322,3 +323,15 @@ SQL["poll_changes"] = """WITH a AS (SELECT path, arg_max(modified_at, (listed_at
 SELECT path, kind FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'removed' WHEN a.m IS DISTINCT FROM b.m THEN 'modified' END AS kind FROM a FULL JOIN b ON a.path = b.path) WHERE kind IS NOT NULL"""
 SQL["debounce"] = """WITH r AS (SELECT DISTINCT path, listed_at, modified_at FROM file_listing), s AS (SELECT path, listed_at, modified_at, lag(listed_at) OVER w AS pl, lag(modified_at) OVER w AS pm, row_number() OVER (PARTITION BY path ORDER BY listed_at DESC, modified_at DESC) AS rn FROM r WINDOW w AS (PARTITION BY path ORDER BY listed_at, modified_at))
 SELECT path, CASE WHEN pl IS NULL THEN 'created' WHEN pm <> modified_at THEN 'modified' ELSE 'unchanged' END AS kind FROM s WHERE rn = 1"""
+
+
+def extract_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of the source texts themselves."""
+    return extract.extract_nodes(table(spark, d, "sources")).select("id", "kind", "qualified_name", "start_line", "end_line", "signature", "docstring")
+
+
+def extract_edges(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract_edges(table(spark, d, "sources")).select("source", "target", "target_text", "kind", "source_loc", "provenance")
+
+
+QUERIES |= {"extract_nodes": extract_nodes, "extract_edges": extract_edges}
