@@ -7,7 +7,7 @@ addresses tools or people, stands in for text, repeats the name or the parameter
 is kept only where words remain that tell something new.
 
 Defined results: of several rows of a symbol the one with the highest updated_at holds (a row without one is the oldest);
-a null or blank docstring makes the text in body count, a null body has none; rows with a null id are dropped; a symbol
+a null docstring makes the text in body count, a blank one says nothing, a null body has none; rows with a null id are dropped; a symbol
 whose kind is neither function nor method in its valid row is no case.
 """
 
@@ -122,7 +122,7 @@ def attach(functions: list[Span], comments: list[Span], lines: list[str], python
 
 def documentation(docstring: str | None, body: str | None, language: str | None) -> str:
     """The documentation of one symbol: its docstring, or where there is none what the spans of its body give."""
-    if docstring is not None and docstring.strip():
+    if docstring is not None:
         return docstring
     if not body:
         return ""
@@ -280,7 +280,7 @@ def describe(nodes: DataFrame) -> DataFrame:
     is_function = F.coalesce(F.lower(F.trim("kind")).isin("function", "method"), F.lit(False))
     rows = nodes.filter("id is not null").select(
         F.lower(F.btrim("id")).alias("id"), F.coalesce("updated_at", F.lit(-(2**62))).alias("updated_at"), is_function.alias("is_function"), "name", "signature",
-        F.when(is_function, F.col("docstring")).alias("docstring"), F.when(is_function & ((F.trim(F.coalesce("docstring", F.lit(""))) == "") | F.col("signature").isNull()), F.col("body")).alias("body"), "language",
+        F.when(is_function, F.col("docstring")).alias("docstring"), F.when(is_function & (F.col("docstring").isNull() | F.col("signature").isNull()), F.col("body")).alias("body"), "language",
     )
     return rows.mapInPandas(run, "id string, updated_at long, is_function boolean, signature string, description string, code string")
 

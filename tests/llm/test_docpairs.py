@@ -36,7 +36,7 @@ def test_spans_and_join():
     assert "late rows" in D.documentation(None, "# Drops late rows.\n@cached\ndef f():\n    return 1", "python")
     assert D.documentation(None, "def f():\n    x = 1\n    # Drops late rows.\n    return x", "python") == ""
     assert D.documentation("kept", "# Other words here.\ndef f(): pass", "python") == "kept"
-    assert D.documentation(None, None, None) == "" and D.documentation(" ", "x" * 100_000, None) == ""
+    assert D.documentation(None, None, None) == "" and D.informative(D.documentation(" ", "# Drops late rows.\ndef f(): pass", "python"), "f", None) == "" and D.documentation(None, "x" * 100_000, None) == ""
 
 
 def test_valid_row_decides(spark, rows):
