@@ -146,6 +146,10 @@ def _tests_sql(strict: bool) -> str:
 add("test_edges", lambda g: analytics.test_links(g, True), _tests_sql(True))
 add("test_edges_names", lambda g: analytics.test_links(g, False), _tests_sql(False))
 
+add("naming_match", lambda g: analytics.test_links(g, False).filter("derivation = 'naming'").select("test_id", "source_id"), graph_sql(
+    "SELECT test_id, source_id FROM t JOIN p ON p.about = t.about WHERE t.about <> ''", _FT,
+    r"t AS (SELECT id AS test_id, regexp_replace(name, '^[tT]est_?|_?[tT]est$', '', 'g') AS about FROM f WHERE test AND name IS NOT NULL)", "p AS (SELECT id AS source_id, name AS about FROM f WHERE NOT test AND name IS NOT NULL)"))
+
 # --- change ---
 
 _CALLS = ("calls", "references", "imports")

@@ -268,6 +268,19 @@ add("channel_edges", _channels, graph_sql(
     r"""SELECT DISTINCT id, 'emits' AS kind, unnest(regexp_extract_all(body, '\b(?:console|emit|publish|dispatch)\.?(?:warn|log|emit|publish)?\(\s*[''"]([^''"]+)[''"]', 1)) AS name FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL
     UNION SELECT DISTINCT id, 'listens_on', unnest(regexp_extract_all(body, '\.(?:on|once|subscribe|addListener)\(\s*[''"]([^''"]+)[''"]', 1)) FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL"""))
 
+def _grpc(g: PropertyGraph) -> DataFrame:
+    """id, kind, name: remote services that symbols serve (servicers, service bases) or call (stubs), by how their code names them."""
+    n = g.nodes("kind", "name", "body", "signature").filter("kind in ('class', 'function', 'method')")
+    text = F.concat_ws(" ", F.coalesce("signature", F.lit("")), F.coalesce("body", F.lit("")))
+    serve = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\w+)(?:Servicer|ServiceImplBase|ImplBase)\b"), 1), lambda x: F.struct(F.lit("grpc_server").alias("kind"), x.alias("name")))
+    call = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\w+?)(?:BlockingStub|FutureStub|Stub)\s*\("), 1), lambda x: F.struct(F.lit("grpc_client").alias("kind"), x.alias("name")))
+    return n.select("id", F.explode(F.array_union(serve, call)).alias("r")).select("id", "r.kind", "r.name").distinct()
+
+
+add("grpc_edges", _grpc, graph_sql(
+    r"""SELECT DISTINCT id, 'grpc_server' AS kind, unnest(regexp_extract_all(t, '\b(\w+)(?:Servicer|ServiceImplBase|ImplBase)\b', 1)) AS name FROM s UNION SELECT DISTINCT id, 'grpc_client', unnest(regexp_extract_all(t, '\b(\w+?)(?:BlockingStub|FutureStub|Stub)\s*\(', 1)) FROM s""",
+    "s AS (SELECT id, coalesce(signature, '') || ' ' || coalesce(body, '') AS t FROM n WHERE kind IN ('class', 'function', 'method'))"))
+
 # --- federation, differences ---
 
 add("fed_search", lambda g: diff.fed_search(g, _Q), graph_sql("SELECT repo, id, place FROM (SELECT split_part(file_path, '/', 1) AS repo, id, row_number() OVER (PARTITION BY split_part(file_path, '/', 1) ORDER BY round(rank, 9) DESC, id) AS place FROM fts WHERE file_path IS NOT NULL) WHERE place <= 200", *_fts(_Q)))
