@@ -62,9 +62,9 @@ def test_leaks(spark, rows):
         14: "中文。" * 50 + "\u3000".join(w[6][:25]), 15: (filler * 4000) + " ".join(w[6][:25]),
     }
     df = spark.createDataFrame(list(docs.items()) + [(1, docs[1])], "doc_id long, text string")
-    it = spark.createDataFrame([(i, "s", t) for i, t in items.items()] + [(50, "s", None), (51, "s", " "), (None, "s", items[0]), (52, "s", items[0])], "item_id long, suite string, text string")
+    it = spark.createDataFrame([(i, "s", t) for i, t in items.items()] + [(50, "s", None), (51, "s", " "), (None, "s", items[0]), (52, "s", items[0]), *[(60 + k, "s", items[3]) for k in range(6)]], "item_id long, suite string, text string")
     got = {(r.doc_id, r.item_id) for r in leakage.leaks(df, it).collect()}
-    want = {(1, 0), (1, 52), (2, 2), (4, 4), (5, 1), (6, 3), (7, 5), (12, 0), (12, 7), (12, 52), (13, 0), (13, 52), (14, 6), (15, 6)}
+    want = {(1, 0), (1, 52), (2, 2), (4, 4), (5, 1), (6, 3), (7, 5), (12, 0), (12, 7), (12, 52), (13, 0), (13, 52), (14, 6), (15, 6)} | {(6, 60 + k) for k in range(6)}
     assert got == want
     assert rows(leakage.leaks(df.limit(0), it)) == [] and rows(leakage.leaks(df, it.limit(0))) == []
 
