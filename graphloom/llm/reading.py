@@ -50,6 +50,8 @@ OTHER = frozenset(
 
 def prose(text: str) -> list[str]:
     """Passages of prose: fenced and indented code, tables, headings, links and code-like lines are left out."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n\n", text)
     if "\n==" in text or "\n--" in text:
@@ -57,7 +59,7 @@ def prose(text: str) -> list[str]:
     if "`" in text or "](" in text or "<" in text or "://" in text or "www." in text:
         text = _INLINE.sub(" ", text)
     out, now = [], []
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+    for line in text.split("\n"):
         if not line or line.isspace():
             if now:
                 out.append(" ".join(now))

@@ -108,11 +108,11 @@ def test_levels(spark, rows):
     code = "```\n" + "def the_house(): return HARD\n" * 40 + "```\n"
     table = "| the | dog |\n|---|---|\n" + "| notwithstanding | methodological |\n" * 30
     docs = [
-        (1, EASY * 4), (2, MIDDLE * 5), (3, HARD * 5), (4, "# Title\n\n" + EASY * 4 + "\n\n" + code + table), (5, "Der Hund ist nicht im Haus und die Katze sitzt auf der Mauer. " * 10), (6, EASY), (7, None), (8, ""), (9, code), (10, HARD * 6 + "\n\n" + EASY), (11, "图书馆很大。" * 40), (12, EASY * 3000), (3, HARD * 5),
+        (1, EASY * 4), (2, MIDDLE * 5), (3, HARD * 5), (4, "# Title\n\n" + EASY * 4 + "\n\n" + code + table), (5, "Der Hund ist nicht im Haus und die Katze sitzt auf der Mauer. " * 10), (6, EASY), (7, None), (8, ""), (9, code), (10, HARD * 6 + "\n\n" + EASY), (11, "图书馆很大。" * 40), (12, EASY * 3000), (3, HARD * 5), (13, (EASY * 2 + "\n\n" + code + "\n" + HARD * 6).replace("\n", "\r\n")),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.band for r in reading.levels(df, graded(spark)).collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 1, 10: 3, 12: 1}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1, 10: 3, 12: 1, 13: 3}
     assert rows(reading.levels(df, graded(spark).limit(0))) == [] and rows(reading.levels(df.limit(0), graded(spark))) == []
 
 
