@@ -1,4 +1,6 @@
-"""Graph algorithms as loops of joins; nothing of the graph is gathered on the driver but one number a round."""
+"""Graph algorithms as loops of joins; nothing of the graph is gathered on the driver but one number a round.
+
+Links without one of their ends and nodes without id count for nothing, repeated links count once, empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -11,10 +13,10 @@ from graphloom.operators.traverse import directed
 
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = None) -> DataFrame:
     """id, rank: mass-conserving PageRank on distinct links; the mass of nodes without outgoing link is spread evenly."""
-    one = links.select("source", "target").distinct()
+    one = links.select("source", "target").dropna().distinct()
     degree = one.groupBy("source").agg(F.count("*").alias("degree"))
     hop = cut(one.join(degree, "source"))
-    ids = cut(nodes.select("id").distinct().join(degree.select(F.col("source").alias("id"), F.lit(True).alias("has")), "id", "left"))
+    ids = cut(nodes.select("id").dropna().distinct().join(degree.select(F.col("source").alias("id"), F.lit(True).alias("has")), "id", "left"))
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
@@ -34,7 +36,7 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
 def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = 5) -> DataFrame:
     """id, community: each round a node takes the label most of its neighbours have, the smallest of the most frequent; a node without neighbours keeps its own."""
     hop = cut(directed(links, "both").filter("a <> b"))
-    labels = nodes.select("id", F.col("id").alias("community")).distinct()
+    labels = nodes.select("id", F.col("id").alias("community")).dropna().distinct()
     for _ in range(rounds):
         votes = hop.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("new"))
@@ -47,7 +49,7 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
 
     Nodes without way in or out are trimmed first; then the largest id that reaches a node colours it, and those of a
     colour that reach its origin are one component. What is left goes round again."""
-    every = cut(links.select("source", "target").distinct())
+    every = cut(links.select("source", "target").dropna().distinct())
     found = every.filter("source = target").select(F.col("source").alias("id"))
     rest = every.filter("source <> target")
     while True:
@@ -90,7 +92,7 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
 
 def cycles_up_to(links: DataFrame, length: int = 3) -> DataFrame:
     """cycle, length: simple cycles of at most ``length`` nodes, each once, written from its smallest node."""
-    one = links.select("source", "target").distinct()
+    one = links.select("source", "target").dropna().distinct()
     out = [one.filter("source = target").select(F.col("source").alias("cycle"), F.lit(1).alias("length"))]
     hop = one.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"))
     walk = hop.filter("a < b").select(F.col("a").alias("low"), F.col("b").alias("at"), F.array("a", "b").alias("path"))

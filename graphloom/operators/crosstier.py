@@ -1,4 +1,7 @@
-"""Links between tiers: HTTP calls to routes in three steps, and foreign functions by symbol."""
+"""Links between tiers: HTTP calls to routes in three steps, and foreign functions by symbol.
+
+A null or missing method, url or symbol matches nothing; the root url matches the root; repeated rows give repeated pairs only
+where their ids differ; empty tables give empty results."""
 
 from __future__ import annotations
 

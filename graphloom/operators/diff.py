@@ -1,4 +1,6 @@
-"""Differences of two states of a table by full outer join, and views over many repositories at once."""
+"""Differences of two states of a table by full outer join, and views over many repositories at once.
+
+Null keys and paths are left out, a null value equals an empty one, repeated rows count once, an empty state has lost or gained all."""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Search over symbols: full text with BM25, pattern, edit distance, cascades of these, and rankings from several signals."""
+"""Search over symbols: full text with BM25, pattern, edit distance, cascades of these, and rankings from several signals.
+
+Null columns are empty texts; a query without terms finds nothing; an empty graph gives empty results; ties in ranking keep
+their equal ranks, and wherever a place is given the smaller id comes first."""
 
 from __future__ import annotations
 

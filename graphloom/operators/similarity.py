@@ -115,8 +115,8 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 def clones(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, class, copies, links: each symbol (id, items) with its class, the symbols whose set equals its own, and how many other
-    different sets are similar to it. Symbols of empty sets stand alone."""
-    sets = cut(sets.select("id", "items"))
+    different sets are similar to it. Symbols of empty or null sets stand alone, those without id are dropped, a repeated row counts once."""
+    sets = cut(sets.select("id", "items").filter("id is not null").dropDuplicates(["id"]))
     keyed = sets.select("id", F.array_sort("items").alias("items")).withColumn("key", F.sha2(F.concat_ws("\x00", "items"), 256)).filter(F.size("items") > 0)
     group = cut(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("items", "id").alias("items")))
     links = cut(similarity_links(group.select(F.col("rep").alias("id"), "items"), threshold))
@@ -124,5 +124,5 @@ def clones(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     per = group.select("key", "rep", "copies").join(classes, "rep").join(degree, "rep", "left")
     found = keyed.select("id", "key").join(per, "key").select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    alone = sets.filter(F.size("items") <= 0).select("id", F.col("id").alias("class"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
+    alone = sets.filter(F.coalesce(F.size("items"), F.lit(0)) <= 0).select("id", F.col("id").alias("class"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
     return found.unionByName(alone)

@@ -1,4 +1,6 @@
-"""Scans, lookups, writes and exports of a property graph."""
+"""Scans, lookups, writes and exports of a property graph.
+
+Null ids and sources are dropped by the graph; null names become empty labels in exports; empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -75,8 +77,9 @@ def graph_stats(graph: PropertyGraph) -> DataFrame:
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same id; of several new ones the highest updated_at holds."""
+    """Rows of ``new`` replace those of ``old`` with the same id; of several new ones the highest updated_at holds; rows without id are dropped."""
     cols = old.columns
+    old, new = old.filter("id is not null"), new.filter("id is not null")
     all_ = old.withColumn("_gen", F.lit(0)).unionByName(new.select(*cols).withColumn("_gen", F.lit(1)))
     return all_.groupBy("id").agg(F.max_by(F.struct(*[c for c in cols if c != "id"]), F.struct("_gen", F.coalesce("updated_at", F.lit(-1)))).alias("r")).select("id", "r.*")
 

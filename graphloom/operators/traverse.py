@@ -1,5 +1,7 @@
 """Level-synchronous traversal over link tables (source, target).
 
+Seeds and links with null ids count for nothing; an empty table of either gives an empty result; repeated rows count once.
+
 A level is one join of the frontier with the links and one anti join with what was met before; small depths are unrolled
 into one plan, deeper ones cut their lineage through the shared folder every few levels."""
 
@@ -17,7 +19,8 @@ UNROLLED = 3
 
 
 def directed(links: DataFrame, direction: str) -> DataFrame:
-    """links as (a, b): out follows them, in goes against them, both does either."""
+    """links as (a, b): out follows them, in goes against them, both does either; a link without one of its ends is none."""
+    links = links.dropna(subset=["source", "target"])
     out = links.select(F.col("source").alias("a"), F.col("target").alias("b"))
     back = links.select(F.col("target").alias("a"), F.col("source").alias("b"))
     if direction == "out":
@@ -34,7 +37,7 @@ def bfs(links: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: i
     hop = directed(links, direction)
     if max_depth is None or max_depth > UNROLLED:
         hop = cut(hop)
-    met = frontier = seeds.select(F.col("id").alias("seed"), "id").distinct()
+    met = frontier = seeds.select(F.col("id").alias("seed"), "id").dropna().distinct()
     out: list[DataFrame] = []
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -55,7 +58,7 @@ def bfs(links: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: i
 def reachable(links: DataFrame, seeds: DataFrame, direction: str = "out") -> DataFrame:
     """id: everything any seed reaches, the seeds too; one visited set, not one for each seed."""
     hop = cut(directed(links, direction))
-    met = frontier = cut(seeds.select("id").distinct())
+    met = frontier = cut(seeds.select("id").dropna().distinct())
     level = 0
     while True:
         level += 1
@@ -99,7 +102,7 @@ def simple_paths(links: DataFrame, seeds: DataFrame, max_length: int) -> DataFra
 
 def closure(links: DataFrame, max_depth: int = 3) -> DataFrame:
     """source, target, depth: pairs connected over 2 to ``max_depth`` links at their least depth, without direct ones and pairs of a node with itself."""
-    one = links.select("source", "target").distinct()
+    one = links.select("source", "target").dropna().distinct()
     reach = [one.withColumn("depth", F.lit(1))]
     walk = one
     for d in range(2, max_depth + 1):
@@ -111,7 +114,7 @@ def closure(links: DataFrame, max_depth: int = 3) -> DataFrame:
 
 def chains(links: DataFrame, max_length: int = 3, min_length: int = 2) -> DataFrame:
     """path, length of chains from nodes without inbound link, of ``min_length`` to ``max_length`` nodes; one that closes a cycle ends with the node it meets again."""
-    one = links.select("source", "target").distinct()
+    one = links.select("source", "target").dropna().distinct()
     roots = one.select(F.col("source").alias("id")).distinct().join(one.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
     walk = roots.select("id", F.array("id").alias("path"), F.lit(False).alias("closed"))
     out = []

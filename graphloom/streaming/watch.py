@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def poll_changes(before: DataFrame, now: DataFrame) -> DataFrame:
-    """path, kind: created, removed, or modified (the times differ) between two listings (path, modified_at), each path once in each."""
+    """path, kind: created, removed, or modified (the times differ) between two listings (path, modified_at), each path once in each; null paths are dropped."""
+    before, now = before.filter("path is not null"), now.filter("path is not null")
     a = before.select("path", F.col("modified_at").alias("m1"), F.lit(True).alias("was"))
     b = now.select("path", F.col("modified_at").alias("m2"), F.lit(True).alias("is_"))
     kind = F.when(F.col("was").isNull(), "created").when(F.col("is_").isNull(), "removed").when(~F.col("m1").eqNullSafe(F.col("m2")), "modified")
@@ -18,7 +19,7 @@ def poll_changes(before: DataFrame, now: DataFrame) -> DataFrame:
 
 def debounce(events: DataFrame) -> DataFrame:
     """path, kind of the last event (path, kind, seq) of each path; of events at one time the largest kind."""
-    return events.groupBy("path").agg(F.max_by("kind", F.struct("seq", "kind")).alias("kind"))
+    return events.filter("path is not null").groupBy("path").agg(F.max_by("kind", F.struct("seq", "kind")).alias("kind"))
 
 
 def debounced_stream(events: DataFrame, gap: str = "300 milliseconds", late: str = "2 seconds", time: str = "at") -> DataFrame:

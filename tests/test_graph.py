@@ -253,3 +253,42 @@ def test_entry_contract():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {"p2_found", "p3_found", "p4_found", "p6_found"} <= set(entry.queries())
+
+
+def test_nulls_and_empties_count_for_nothing(spark, rows):
+    links = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None), (None, "b"), ("b", "c"), (None, None)], "source string, target string")
+    seeds = spark.createDataFrame([("a",), (None,), ("a",)], "id string")
+    assert rows(traverse.bfs(links, seeds, "both", 2)) == [("a", "b", 1), ("a", "c", 2)]
+    assert rows(traverse.reachable(links, seeds)) == [("a",), ("b",), ("c",)]
+    assert rows(traverse.closure(links)) == [("a", "c", 2)] and rows(traverse.chains(links, 3)) == [("a>b", 2), ("a>b>c", 3)]
+    assert rows(traverse.simple_paths(links, seeds.dropna().distinct(), 2)) == [("a", "b", 1, "a>b"), ("a", "c", 2, "a>b>c")]
+    ranks = algorithms.pagerank(seeds.unionByName(spark.createDataFrame([("b",), ("c",)], "id string")), links, rounds=3)
+    assert math.isclose(sum(r.rank for r in ranks.collect()), 1.0, abs_tol=1e-9)
+    none = links.limit(0)
+    assert rows(algorithms.cycle_nodes(links)) == [] and rows(algorithms.cycle_nodes(none)) == [] and rows(algorithms.cycles_up_to(none)) == []
+    assert rows(algorithms.pagerank(seeds.limit(0), none)) == [] and rows(algorithms.label_propagation(seeds, links, 1)) == [("a", "a")]
+    assert rows(algorithms.betweenness(none, seeds.limit(0))) == [] and rows(traverse.shortest_paths(none, links.limit(0), 2)) == []
+    sets = spark.createDataFrame([("a", ["x"]), ("a", ["x"]), ("b", None), (None, ["x"]), ("c", [])], "id string, items array<string>")
+    assert rows(similarity.clones(sets)) == [("a", "a", 1, 0), ("b", "b", 1, 0), ("c", "c", 1, 0)]
+    assert rows(similarity.clones(sets.limit(0))) == []
+    calls = spark.createDataFrame([(1, "GET", None), (2, None, "/a"), (3, "GET", "/"), (4, "GET", "")], "call_id int, method string, url string")
+    routes = spark.createDataFrame([(9, "GET", None), (8, "GET", "/"), (7, "GET", "/{x}")], "route_id int, method string, url string")
+    assert {(r.call_id, r.route_id) for r in crosstier.match_http(calls, routes).collect()} == {(3, 8), (4, 8)}
+    assert rows(crosstier.match_http(calls.limit(0), routes)) == []
+
+
+def test_null_columns_in_every_analysis(spark):
+    """A graph of rows that know little more than their id goes through all analyses."""
+    ddl = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, signature string, docstring string, decorators string, framework string, visibility string, is_exported int, body string, updated_at long"
+    bare = [(i, k, *[None] * 14) for i, k in (("a", "function"), ("b", "method"), ("c", None), (None, "function"))]
+    e = spark.createDataFrame([(1, "a", "b", None, "calls", None), (2, "b", "gone", "x:y", "calls", None), (3, "a", None, None, None, None)], "id long, source string, target string, target_text string, kind string, provenance string")
+    g = PropertyGraph(spark.createDataFrame(bare, ddl), e)
+    hunks = spark.createDataFrame([("f", 1, 2), (None, 1, 2)], "file_path string, first int, last int")
+    made = [
+        analytics.dead_by_degree(g), analytics.dead_by_rules(g), analytics.dead_by_reach(g), analytics.one_entry_a_file(analytics.entry_points(g)), analytics.layer_violations(g, F.lit(1)), analytics.unit_metrics(g, F.col("file_path")), analytics.health(g),
+        analytics.health_by_links(g), analytics.coverage(g), analytics.test_links(g), analytics.changed_symbols(g, hunks), analytics.change_impact(g, hunks), analytics.classify_references(g), analytics.resolve_references(g), analytics.security_findings(g),
+        analytics.find_structure(g, "for_loop"), analytics.quality_gates(g), analytics.impact_prediction(g, g.nodes()), search.search_text(g, "a b"), search.cascade(g, "abc"), search.search_qualified(g, "kind:method"), search.rank_lite(g, "a"), storage.graph_stats(g), storage.def_index(g), storage.export_json(g),
+    ]
+    counts = [df.count() for df in made]
+    assert counts[0] >= 1 and counts[-3] >= 4
+    assert {r.id for r in search.search_qualified(g, "kind:method").collect()} == {"b"}
