@@ -308,7 +308,15 @@ def _cognitive(g: PropertyGraph) -> DataFrame:
     return f.withColumn("risk", code.risk_level(F.col("cyclomatic"), F.col("cognitive")))
 
 
-add("complexity_risk", _cognitive)
+_CODES = f"""CASE WHEN x IN ('{{', 'begin', 'do') THEN 1 WHEN x IN ('}}', 'end', 'endfunction', 'endif') THEN 2 WHEN x = ':' AND lang = 'python' THEN 1
+  WHEN x IN ('for', 'while', 'loop') OR x = 'range' AND lang = 'go' THEN 5 WHEN x IN ({_in(code.DECISIONS)}) OR x = 'fallthrough' AND lang = 'go' THEN 4 WHEN x IN ('repeat', 'foreach') THEN 4
+  WHEN x IN ('&&', '||') THEN 7 WHEN x IN ('break', 'continue') THEN 8 ELSE 0 END"""
+# the fold keeps score and depth in one number: 100000 * score + depth
+add("complexity_risk", _cognitive, graph_sql(
+    rf"""SELECT id, cyclomatic, cognitive, (['low', 'medium', 'high', 'critical'])[greatest(CASE WHEN cyclomatic <= 5 THEN 1 WHEN cyclomatic <= 10 THEN 2 WHEN cyclomatic <= 20 THEN 3 ELSE 4 END, CASE WHEN cognitive <= 5 THEN 1 WHEN cognitive <= 15 THEN 2 WHEN cognitive <= 30 THEN 3 ELSE 4 END)] AS risk FROM (
+      SELECT id, 1 + len(list_filter(t, lambda x: x IN ({_in((*code.DECISIONS, '&&', '||', '?'))}) OR x IN ('fallthrough', 'range') AND lang = 'go' OR x = 'case' AND lang <> 'python')) + len(list_filter(t, lambda x: x = 'elif' AND lang = 'python')) AS cyclomatic,
+        list_reduce(list_transform(t, lambda x: ({_CODES})::BIGINT), lambda a, c: CASE c WHEN 1 THEN a + 1 WHEN 2 THEN a - (a % 100000 > 0)::BIGINT WHEN 4 THEN a + 100000 * (1 + a % 100000) WHEN 5 THEN a + 200000 * (1 + a % 100000) WHEN 7 THEN a + 100000 WHEN 8 THEN a + 100000 * (a % 100000) ELSE a END, 0::BIGINT) // 100000 AS cognitive
+      FROM (SELECT id, coalesce(lower(language), '') AS lang, regexp_extract_all(body, {_quoted(code.WORD_OR_SIGN)}, 1) AS t FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL))"""))
 _TOKENS_SQL = rf"""tok AS (SELECT id, list_transform(regexp_extract_all(regexp_replace(coalesce(body, ''), '(?m)#.*$', '', 'g'), {_quoted(code.TOKEN)}, 1), lambda t: CASE WHEN regexp_matches(t, '^["'']') THEN 'S' WHEN regexp_matches(t, '^\d') THEN 'N' WHEN t IN ({_in(code.KEPT_KEYWORDS)}) THEN t WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'I' ELSE t END) AS tokens
   FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL)"""
 add("ast_tokens", lambda g: analytics.functions(g, "body").filter("body is not null").select("id", F.concat_ws(" ", code.ast_tokens(F.col("body"))).alias("tokens")), graph_sql("SELECT id, array_to_string(tokens, ' ') AS tokens FROM tok", _TOKENS_SQL))
