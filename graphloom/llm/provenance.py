@@ -79,9 +79,10 @@ _GENERATED = re.compile(
     r"|\bproduced by\b.{0,60}\bdo not (?:edit|modify)|\b(?:manual|any|your)? ?(?:changes|edits|modifications) (?:will|would) be (?:lost|overwritten)",
     re.I | re.M,
 )
+# starts at the beginning of a run of word or other characters only, so a head of any length is read in one pass
 _VENDORED = re.compile(
-    r"@(?:license|preserve)\s+[\w.-]+\s+v?\d|^\W*/?\*?!\s*[\w.-]+\s+v?\d+\.\d+|\bbundled (?:copy|version) of\b|\bvendored\b(?: copy)?(?: from| of)\b|\bcopied (?:unchanged|verbatim|from)\b|\bupstream\s*:"
-    r"|\breport bugs upstream\b|\bimported from https?://|[\w.-]+ v?\d+\.\d+(?:\.\d+)? - \(c\)|\bthe [\w.-]+ (?:project|authors|contributors), see https?://|\btaken from https?://",
+    r"@(?:license|preserve)\s+[\w.-]+\s+v?\d|(?:\A|(?<=\w)[^\w\n]*\n)\W*!\s*[\w.-]+\s+v?\d+\.\d+|\bbundled (?:copy|version) of\b|\bvendored\b(?: copy)?(?: from| of)\b|\bcopied (?:unchanged|verbatim|from)\b|\bupstream\s*:"
+    r"|\breport bugs upstream\b|\bimported from https?://|(?<![\w.-])[\w.-]++ v?\d+\.\d+(?:\.\d+)? - \(c\)|\bthe [\w.-]+ (?:project|authors|contributors), see https?://|\btaken from https?://",
     re.I | re.M,
 )
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`')
@@ -103,7 +104,7 @@ def content_class(path: str, text: str | None) -> str:
     if head:
         if _GENERATED.search(head):
             return "generated"
-        if _VENDORED.search(head[:4000]):
+        if _VENDORED.search(head):
             rest = text[len(head) :]
             return "minified" if _minified(rest) else "vendored"
     code = _COMMENT.sub("", text)

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -158,6 +159,23 @@ def test_content_classes():
             assert c(path, text) == want, (path, (text or "")[:60])
 
 
+def test_vendored_mark_behind_a_long_licence(spark):
+    licence = "# Permission is granted to any person, free of charge, to deal in this text.\n" * 130
+    assert len(licence) > 10_000
+    for mark in ("Copied from https://lib.example/a.py", "upstream: https://lib.example", "imported from https://lib.example", "lib 1.3.0 - (c) lib people", "!lib v1.2"):
+        assert provenance.content_class("a.py", licence + "# " + mark + "\n" + hand(1, 4)) == "vendored", mark
+    assert provenance.content_class("a.py", licence + hand(1, 4)) == ""
+    src = [("r1/a.py", licence + "# upstream: https://lib.example\n\n" + hand(1, 5)), ("r1/b.py", hand(1, 5)), ("r1/c.py", licence + hand(2, 6))]
+    assert {r.path: r.reason for r in provenance.judged(spark.createDataFrame(src, "path string, content string")).collect()} == {"r1/a.py": "vendored", "r1/b.py": "vendored"}
+
+
+@pytest.mark.parametrize("run", ["-" * 300_000, "x" * 300_000, "#\n" * 150_000, "!-" * 150_000, "#!\n" * 100_000])
+def test_long_heads_take_one_pass(run):
+    at = time.process_time()
+    assert not provenance._VENDORED.search("# a\n" + run)
+    assert time.process_time() - at < 5
+
+
 def test_attribute_precedence():
     root = provenance.parse_attributes("*.pb.go linguist-generated\nlib/** linguist-vendored=true\nlib/own/*.py -linguist-vendored\n# x\n*.txt text\n")
     deep = provenance.parse_attributes("*.pb.go linguist-generated=false")
