@@ -78,16 +78,18 @@ _LINK = "node string, ptr string, off long"
 
 
 def _double(links: DataFrame) -> DataFrame:
-    """Pointer doubling over links of any number. What has not reached a root when 2^rounds exceeds the rows is on or below a loop."""
+    """Pointer doubling over links of any number. What points at a lost node (ptr '') is lost with it; what has not reached a root when
+    2^rounds exceeds the rows is on or below a loop."""
     n = links.count()
     for _ in range(math.ceil(math.log2(n + 1)) + 1):
-        up = links.filter("ptr <> ''").select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("off").alias("off2"))
+        up = links.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("off").alias("off2"))
+        lost = (F.col("ptr") == "") | (F.coalesce("ptr2", F.lit("-")) == "")
         links = cut(
             links.join(up, "ptr", "left").select(
                 "node",
-                F.coalesce("ptr2", "ptr").alias("ptr"),
-                (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"),
-                F.col("ptr2").isNotNull().alias("open"),
+                F.when(lost, "").otherwise(F.coalesce("ptr2", "ptr")).alias("ptr"),
+                F.when(lost, -1).otherwise(F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"),
+                (F.col("ptr2").isNotNull() & ~lost).alias("open"),
             )
         )
         if links.filter("open").isEmpty():

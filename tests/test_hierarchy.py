@@ -46,6 +46,18 @@ def test_chain_by_doubling(spark):
     assert found(hierarchy.roots(df, 3)) == brute(links)
 
 
+def test_doubling_carries_lost_nodes(spark):
+    """L is closed on itself below this level; nothing stays open two rounds after, and all above L are lost."""
+    links = spark.createDataFrame([("L", "", -1), ("A", "L", 1), ("B", "A", 1), ("C", "B", 1), ("y", "x", 1), ("z", "y", 2)], hierarchy._LINK)
+    assert {r.node: (r.ptr, r.off) for r in hierarchy._double(links).collect()} == dict.fromkeys("LABC", ("", -1)) | {"y": ("x", 1), "z": ("x", 3)}
+
+
+def test_chain_above_self_loop(spark):
+    links = [("n00", "n00")] + [(f"n{i:02}", f"n{i - 1:02}") for i in range(1, 24)] + [("b", "a"), ("c", "b")]
+    df = spark.createDataFrame(links, "child string, parent string")
+    assert found(hierarchy.roots(df, 2)) == brute(links)
+
+
 def test_nulls_ties_empty(spark):
     links = [("a", "b"), ("a", "b"), ("a", "c"), (None, "b"), ("a", None)]
     assert found(hierarchy.roots(spark.createDataFrame(links, "child string, parent string"))) == {"a": ("b", 1), "b": ("b", 0)}
