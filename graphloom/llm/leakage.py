@@ -1,12 +1,13 @@
 """Evaluation texts leaking into training texts.
 
-Method: a prefix-filtered set join over word shingles. Shingles of the items are ordered by rarity; those that many items
-share (instructions) carry no evidence and are left out. A passage of ``min_words`` words holds a known number of the
-remaining shingles, so a document that misses all but a few of an item's shingles cannot hold it; only documents with
-at least ``min_shingles`` go on. Positions then bound the match: hits are chained in the order of both texts, split into
-stretches no longer apart than an odd word or two allows, and each stretch is verified word by word over the item's window.
-The items are the query set: they go to the executors in blocks of bounded size, each block is one pass over all
-documents, without shuffle, and a document's rows do not depend on other documents.
+Method: a set join over word shingles. Shingles that many items share (instructions) carry no evidence and are left out;
+they are counted once over all items, copies and near-copies of an item as one. All other shingles of an item are indexed:
+no necessary prefix of the rarest is chosen. A passage of ``min_words`` words holds a known number of them, so a document
+that misses all but a few of an item's shingles cannot hold it; only documents with at least ``min_shingles`` go on.
+Positions then bound the match: hits are chained in the order of both texts, split into stretches no longer apart than an
+odd word or two allows, and each stretch is verified word by word over the item's window. The items are the query set: the
+driver holds them, they go to the executors in blocks of bounded size, each block is one pass over all documents, without
+shuffle, and a document's rows do not depend on other documents nor on the blocks.
 
 Defined results: null and blank texts hold nothing; an item with fewer words than the threshold, apart from shared
 instructions, is never found; repeated items and documents are judged alike, each under its own id.
@@ -15,6 +16,7 @@ instructions, is never found; repeated items and documents are judged alike, eac
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from bisect import bisect_left
@@ -31,8 +33,8 @@ MIN_WORDS = 16
 ANCHOR = 3
 #: Distinct anchors of an item below which a passage of MIN_WORDS words cannot be there, odd words included.
 MIN_SHINGLES = 3
-#: Items from which a shingle counts as shared instruction.
-SHARED_BY = 4
+#: Items from which a shingle counts as shared instruction; those of NEAR of their five-word shingles in common (Jaccard) count as one.
+SHARED_BY, NEAR = 4, 0.7
 #: Words that may lie between two anchors of a stretch, and the item words a stretch must have.
 GAP, STRETCH = 8, 5
 #: Items of a block; each at most some 10,000 words, else fewer by ``BLOCK_WORDS``.
@@ -66,24 +68,82 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _counts(w: list[str], shared: frozenset[tuple[str, ...]]) -> list[bool]:
+    """Which words of an item are no shared instruction."""
+    counts = [True] * len(w)
+    for k in range(len(w) - 4):
+        if tuple(w[k : k + 5]) in shared:
+            counts[k : k + 5] = [False] * 5
+    return counts
+
+
+def _near(sets: list[set[tuple[str, ...]]]) -> list[int]:
+    """The group of each set: sets of similarity NEAR or more are in one, also by way of others. Sets meet on their rarest members only."""
+    n = Counter(x for s in sets for x in s)
+    up = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    index: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for i, s in enumerate(sets):
+        tried = set()
+        for x in sorted(s, key=lambda x: (n[x], x))[: len(s) - math.ceil(NEAR * len(s) - 1e-9) + 1]:
+            if n[x] < 2:
+                continue
+            for j in index[x]:
+                a, b = find(i), find(j)
+                if a != b and j not in tried:
+                    tried.add(j)
+                    both = len(s & sets[j])
+                    if both >= NEAR * (len(s) + len(sets[j]) - both) - 1e-9:
+                        up[max(a, b)] = min(a, b)
+            index[x].append(i)
+    return [find(i) for i in range(len(sets))]
+
+
+def _shared(sets: list[set[tuple[str, ...]]], groups: list[int]) -> frozenset[tuple[str, ...]]:
+    """Members that sets of SHARED_BY or more groups hold."""
+    last: dict[tuple[str, ...], int] = {}
+    n: Counter[tuple[str, ...]] = Counter()
+    for i in sorted(range(len(sets)), key=groups.__getitem__):
+        for x in sets[i]:
+            if last.get(x) != groups[i]:
+                last[x] = groups[i]
+                n[x] += 1
+    return frozenset(x for x, k in n.items() if k >= SHARED_BY)
+
+
+def instructions(items: list[list[str]]) -> tuple[frozenset[tuple[str, ...]], frozenset[tuple[str, ...]]]:
+    """Five-word shingles, and of the words outside these the anchors, that many items share; counted over all ``items``."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in items]
+    groups = _near(sets)
+    shared = _shared(sets, groups)
+    return shared, _shared([{s for s, _ in _anchors(w, _counts(w, shared))} for w in items], groups)
+
+
+def _anchors(w: list[str], counts: list[bool]) -> Iterator[tuple[tuple[str, ...], int]]:
+    """Anchors of an item with their positions."""
+    for k in range(len(w) - ANCHOR + 1):
+        if all(counts[k : k + ANCHOR]):
+            yield tuple(w[k : k + ANCHOR]), k
+
+
 class Items:
-    """Words of a block of items and the inverted index of their anchors."""
+    """Words of a block of items, given as text or words, and the inverted index of their anchors but the ``common`` ones."""
 
-    def __init__(self, rows: list[tuple[int, str]], shared: frozenset[tuple[str, ...]]) -> None:
-        self.words = {i: words(t) for i, t in rows if t}
+    def __init__(self, rows: list[tuple[int, str | list[str]]], shared: frozenset[tuple[str, ...]], common: frozenset[tuple[str, ...]] = frozenset()) -> None:
+        self.words = {i: words(t) if isinstance(t, str) else t for i, t in rows if t}
         self.counts: dict[int, list[bool]] = {}
         self.index: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
-            counts = [True] * len(w)
-            for k in range(len(w) - 4):
-                if tuple(w[k : k + 5]) in shared:
-                    counts[k : k + 5] = [False] * 5
-            self.counts[i] = counts
-            for k in range(len(w) - ANCHOR + 1):
-                if all(counts[k : k + ANCHOR]):
-                    self.index[tuple(w[k : k + ANCHOR])].append((i, k))
-        # rare first: an anchor of many items says little, and the rare ones alone are necessary for a long passage
-        self.index = {s: at for s, at in self.index.items() if len({i for i, _ in at}) < SHARED_BY}
+            counts = self.counts[i] = _counts(w, shared)
+            for s, k in _anchors(w, counts):
+                if s not in common:
+                    self.index[s].append((i, k))
+        self.index = dict(self.index)
 
     def found(self, doc: list[str], min_words: int) -> list[tuple[int, int]]:
         index = self.index
@@ -158,16 +218,20 @@ def _common(a: list[str], b: list[str]) -> list[int]:
     return out
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[list[int], str]]]:
-    """The query set, one row a different text with the ids that have it, in blocks of bounded size streamed to the driver."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(words(t.as_py())) for t in batch.column(1)], pa.string())], names=["item_id", "key"])
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[list[int], list[str]]]]:
+    """The query set, one row different words with the ids that have them, in blocks of bounded size."""
     block, size = [], 0
     for ids, t in items.toLocalIterator():
-        if t and t.strip():
-            block.append((list(ids), t))
-            size += t.count(" ") + len(ids)
-            if len(block) >= BLOCK_ITEMS or size >= BLOCK_WORDS:
-                yield block
-                block, size = [], 0
+        block.append((list(ids), t.split(" ")))
+        size += len(block[-1][1]) + len(ids)
+        if len(block) >= BLOCK_ITEMS or size >= BLOCK_WORDS:
+            yield block
+            block, size = [], 0
     if block:
         yield block
 
@@ -175,31 +239,26 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[list[int], str]]]:
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, words: documents with at least ``min_words`` words of an item."""
     spark = documents.sparkSession
-    items = items.select("item_id", "text").filter("item_id is not null and text is not null")
-    # copies of a text are one query, else they would pass for an instruction that many items share
-    items = items.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select("item_ids", "text")
-    shared_counts: Counter[tuple[str, ...]] = Counter()
-    for block in _blocks(items):
-        for _, t in block:
-            w = words(t)
-            shared_counts.update({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
-    shared = frozenset(s for s, n in shared_counts.items() if n >= SHARED_BY)
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    # copies of a text, however spelled, are one query, else they would pass for an instruction that many items share
+    items = items.mapInArrow(_keyed, "item_id long, key string").filter("key <> ''").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select("item_ids", "key")
+    blocks = list(_blocks(items))
+    shared, common = instructions([w for block in blocks for _, w in block])
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     schema = "doc_id long, item_id long, words int"
     out = None
-    for block in _blocks(items):
-        sent = spark.sparkContext.broadcast((block, shared))
+    for block in blocks:
+        sent = spark.sparkContext.broadcast((block, shared, common))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block, shared = sent.value
-            same = {ids[0]: ids for ids, _ in block}
-            index = Items([(ids[0], t) for ids, t in block], shared)
+            block, shared, common = sent.value
+            index = Items([(n, w) for n, (_, w) in enumerate(block)], shared, common)
             for batch in batches:
                 ids, found = batch.column(0).to_pylist(), []
                 for i, t in zip(ids, batch.column(1)):
                     w = words(t.as_py())
                     if len(w) >= min_words:
-                        found.extend((i, copy, n) for k, n in index.found(w, min_words) for copy in same[k])
+                        found.extend((i, copy, n) for k, n in index.found(w, min_words) for copy in block[k][0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32())], names=["doc_id", "item_id", "words"]
                 )

@@ -79,6 +79,34 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert {tuple(r) for r in leakage.leaks(df, it).collect()} == whole and len(whole) == 8
 
 
+@pytest.mark.parametrize("block", [5_000, 2])
+def test_copies_are_one_item(spark, monkeypatch, block):
+    """Copies that differ in case, spacing and punctuation, near-copies with an odd word, and a repeated id with another text; a real instruction stays one."""
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", block)
+    items = make_items(12)
+    w = {i: t.split() for i, t in items.items()}
+    spelled = [items[0].upper(), "  ".join(w[0]), ", ".join(w[0]), items[0] + "!", "<b>" + items[0] + "</b>"]
+    odd = [" ".join(w[2][:k] + ["other"] + w[2][k + 1 :]) for k in (12, 22, 32, 42, 52)]
+    asked = [(i, t) for i, t in items.items()] + [(100 + k, t) for k, t in enumerate(spelled)] + [(200 + k, t) for k, t in enumerate(odd)] + [(0, items[4])]
+    docs = [(1, "x y z " + items[0]), (2, "x y z " + " ".join(w[2][:30])), (3, items[1][:72] + " x y z"), (4, items[4])]
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 2), (4, 0), (4, 4)} | {(1, 100 + k) for k in range(5)} | {(2, 200 + k) for k in range(5)}
+
+
+def test_near_sets_against_brute_force():
+    r = random.Random(3)
+    sets = [{(x,) for x in r.sample(range(30), r.randrange(0, 12))} for _ in range(60)]
+    sets += [s - {next(iter(s))} for s in sets if s] + [set(), set(sets[0])]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and len(a & b) >= leakage.NEAR * len(a | b) - 1e-9:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    found = leakage._near(sets)
+    assert all((group[i] == group[j]) == (found[i] == found[j]) for i in range(len(sets)) for j in range(i))
+
+
 def test_found_against_brute_force():
     """Contiguous passages of every length: those of at least the threshold are found, those of ten words are not."""
     items = make_items(4)
