@@ -223,10 +223,10 @@ add("safe_refactor", _refactor, graph_sql(
 # --- data flow: symbols that read feed symbols that write, along calls ---
 
 
-def _roles(g: PropertyGraph) -> DataFrame:
+def _roles(g: PropertyGraph, depth: int = 2) -> DataFrame:
     src = g.edges(kinds=["reads"]).select(F.col("source").alias("id")).distinct()
     snk = g.edges(kinds=["writes"]).select(F.col("source").alias("id")).distinct()
-    return analytics.taint(g.links("calls"), src.join(g.nodes(), "id", "left_semi"), snk, 2)
+    return analytics.taint(g.links("calls"), src.join(g.nodes(), "id", "left_semi"), snk, depth)
 
 
 add("taint_roles", _roles, graph_sql(
@@ -237,6 +237,9 @@ _SRC, _SNK = ("read", "fetch", "open", "input", "Snapshot", "snapshot"), ("send"
 add("taint_paths", lambda g: analytics.taint(g.links("reads", "writes", "calls"), analytics.named_like(g, _SRC), analytics.named_like(g, _SNK), 2), graph_sql(
     f"SELECT seed AS source, id AS sink, depth FROM bfs WHERE id IN (SELECT id FROM n WHERE {_ENDS(_SNK)})",
     f"seeds AS (SELECT id FROM n WHERE {_ENDS(_SRC)})", _hop(("reads", "writes", "calls"), "out"), *_walk(2), links=True, recursive=True))
+# the same at the depth of the operator, five links
+add("taint_roles_full", lambda g: _roles(g, 5), SQL["taint_roles"].replace(_walk(2)[0], _walk(5)[0]))
+add("taint_paths_full", lambda g: analytics.taint(g.links("reads", "writes", "calls"), analytics.named_like(g, _SRC), analytics.named_like(g, _SNK), 5), SQL["taint_paths"].replace(_walk(2)[0], _walk(5)[0]))
 add("dataflow_closure", lambda g: traverse.closure(g.links("reads", "writes"), 3), graph_sql(
     "SELECT a AS source, b AS target, min(d) AS depth FROM (SELECT a, b, 1 AS d FROM hop UNION ALL SELECT x.a, y.b, 2 FROM hop x JOIN hop y ON y.a = x.b UNION ALL SELECT x.a, z.b, 3 FROM hop x JOIN hop y ON y.a = x.b JOIN hop z ON z.a = y.b) WHERE a <> b GROUP BY ALL HAVING min(d) > 1", _hop(("reads", "writes"), "out"), links=True))
 add("dataflow_chains", lambda g: traverse.chains(g.links("reads", "writes"), 3), graph_sql(

@@ -255,6 +255,27 @@ def test_entry_contract():
     assert {"p2_found", "p3_found", "p4_found", "p6_found"} <= set(entry.queries())
 
 
+def stored(spark, path, nodes, edges):
+    """A data folder with these columns of nodes and edges, the others null."""
+    from graphloom import schema
+
+    for name, ddl, (cols, data) in (("nodes", schema.NODE_SCHEMA, nodes), ("edges", schema.EDGE_SCHEMA, edges)):
+        every = [c.split()[0] for c in ddl.split(", ")]
+        spark.createDataFrame([tuple(dict(zip(cols.split(), r)).get(c) for c in every) for r in data], ddl).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_taint_over_five_links(spark, rows, tmp_path):
+    import __spark_entry__ as entry
+
+    names = ["a.read", "b", "c", "d", "e", "f.send", "g.send"]
+    calls = [(k, names[k], names[k + 1], "calls") for k in range(6)] + [(10, "a.read", "z", "reads"), (11, "f.send", "z", "writes"), (12, "g.send", "z", "writes")]
+    d = stored(spark, tmp_path, ("id kind name qualified_name updated_at", [(n, "function", n, n, 1) for n in [*names, "z"]]), ("id source target kind", calls))
+    q = entry.queries()
+    assert rows(q["taint_paths_full"](spark, d)) == [("a.read", "f.send", 5)] == rows(q["taint_roles_full"](spark, d))
+    assert rows(q["taint_paths"](spark, d)) == []
+
+
 def test_nulls_and_empties_count_for_nothing(spark, rows):
     links = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None), (None, "b"), ("b", "c"), (None, None)], "source string, target string")
     seeds = spark.createDataFrame([("a",), (None,), ("a",)], "id string")
