@@ -201,8 +201,8 @@ add("ffi_exports_caller_count", lambda g: crosstier.export_callers(*_ffi(g)), gr
 add("exports_overview", lambda g: crosstier.export_callers(*_ffi(g)).filter("callers = 0").select("export_id", "symbol"), graph_sql("SELECT export_id, symbol FROM ex WHERE symbol NOT IN (SELECT symbol FROM imp)", *_FFI))
 
 
-def _cross(g: PropertyGraph) -> DataFrame:
-    http = _known(g).select(F.col("call_id").alias("caller"), F.col("route_id").alias("handler"))
+def _cross(g: PropertyGraph, known: Callable[[PropertyGraph], DataFrame] = _known) -> DataFrame:
+    http = known(g).select(F.col("call_id").alias("caller"), F.col("route_id").alias("handler"))
     ffi = crosstier.match_ffi(*_ffi(g)).select(F.col("import_id").alias("caller"), F.col("export_id").alias("callee"))
     return crosstier.cross_edges(http, ffi)
 
@@ -211,9 +211,9 @@ _CROSS = "cross_ AS (SELECT call_id AS a, route_id AS b, 'http_calls' AS kind FR
 add("cross_lang_edges", _cross, graph_sql("SELECT a AS source, b AS target, kind FROM both_", *_TIERS, _MATCHED, *_FFI, _CROSS))
 
 
-def _annotated(g: PropertyGraph, s: SparkSession, d: str) -> DataFrame:
+def _annotated(g: PropertyGraph, s: SparkSession, d: str, known: Callable[[PropertyGraph], DataFrame] = _known) -> DataFrame:
     """What each removed symbol reaches within two steps over calls and tier links: the smallest shortest path, and how many of its steps cross tiers."""
-    cross = cut(_cross(g))
+    cross = cut(_cross(g, known))
     calls = g.links("calls")
     links = calls.unionByName(cross.select("source", "target")).distinct()
     seeds = _removed(g, s, d)
@@ -231,6 +231,18 @@ add("shortest_path_annotated", _annotated, graph_sql(
     "walk AS (SELECT id AS seed, id, 0 AS depth, id AS path FROM seeds UNION SELECT w.seed, h.b, w.depth + 1, w.path || '>' || h.b FROM walk w JOIN hop h ON h.a = w.id WHERE w.depth < 2)", links=True, recursive=True), whole=True)
 
 
+def _all_known(g: PropertyGraph) -> DataFrame:
+    return cut(crosstier.match_http(_calls(g), _routes(g)))
+
+
+# the same over all three steps of matching
+_FULL = {name: SQL[name].replace(_MATCHED, "matched AS (SELECT * FROM exact UNION ALL SELECT * FROM tmpl UNION ALL SELECT * FROM fuzzy)") for name in ("routes_overview", "trace_request", "cross_lang_edges", "shortest_path_annotated")}
+add("routes_overview_full", lambda g: _routes(g).join(_all_known(g), "route_id", "left_anti"), _FULL["routes_overview"])
+add("trace_request_full", lambda g: _routes(g).filter("upper(method) = upper('get')").join(_all_known(g), "route_id").groupBy("route_id", "url").agg(F.count("*").alias("callers")), _FULL["trace_request"])
+add("cross_lang_edges_full", lambda g: _cross(g, _all_known), _FULL["cross_lang_edges"])
+add("shortest_path_annotated_full", lambda g, s, d: _annotated(g, s, d, _all_known), _FULL["shortest_path_annotated"], whole=True)
+
+
 def _config(g: PropertyGraph, s: SparkSession, d: str) -> DataFrame:
     """constant, key, rule, confidence: constants of sources (NAME = ...) against keys of JSON files. Exact names 0.9, the dotted rest of a
     prefixed name 0.7, a shared whole word with one name inside the other 0.5; joined on the names, the rests and the words."""

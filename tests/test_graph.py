@@ -276,6 +276,16 @@ def test_taint_over_five_links(spark, rows, tmp_path):
     assert rows(q["taint_paths"](spark, d)) == []
 
 
+def test_fuzzy_callers_count(spark, rows, tmp_path):
+    import __spark_entry__ as entry
+
+    nodes = [("r", "class", "Customer", "m::Customer", "repo/core/a.py", 2, 1), ("m", "method", "get", "m::Customer.get", "repo/core/a.py", 8, 1), ("r2", "class", "Order", "m::Order", "repo/core/b.py", 2, 1)]
+    d = stored(spark, tmp_path, ("id kind name qualified_name file_path start_line updated_at", nodes), ("id source target kind", [(1, "m", "m", "calls")]))
+    q = entry.queries()
+    assert [r.route_id for r in q["routes_overview_full"](spark, d).collect()] == ["r2"] and len(q["routes_overview"](spark, d).collect()) == 2
+    assert rows(q["trace_request_full"](spark, d)) == [("r", "/core/customer/{id}", 1)] and rows(q["cross_lang_edges_full"](spark, d)) == [("m", "r", "http_calls"), ("r", "m", "http_calls")]
+
+
 def test_nulls_and_empties_count_for_nothing(spark, rows):
     links = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None), (None, "b"), ("b", "c"), (None, None)], "source string, target string")
     seeds = spark.createDataFrame([("a",), (None,), ("a",)], "id string")
