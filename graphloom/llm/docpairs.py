@@ -81,18 +81,17 @@ def comment_spans(lines: list[str], python: bool) -> list[Span]:
 
 def function_spans(lines: list[str]) -> list[Span]:
     """Where definitions start; ``end`` is the line on which the signature ends."""
-    out = []
-    for i, line in enumerate(lines):
-        m = _FUNCTION.match(line)
-        if m:
-            end, depth = i, 0
-            for j in range(i, min(i + 40, len(lines))):
-                depth += lines[j].count("(") - lines[j].count(")")
-                end = j
-                if depth <= 0:
-                    break
-            out.append(Span(i, end, line, next(g for g in m.groups() if g)))
-    return out
+    n, open_ = len(lines), [0]
+    for line in lines:
+        open_.append(open_[-1] + line.count("(") - line.count(")"))
+    ends, later = [n - 1] * n, []  # from each line the first one at whose end its brackets are closed
+    for k in range(n, -1, -1):
+        while later and open_[later[-1]] > open_[k]:
+            later.pop()
+        if k < n and later:
+            ends[k] = later[-1] - 1
+        later.append(k)
+    return [Span(i, ends[i], line, next(g for g in m.groups() if g)) for i, line in enumerate(lines) if (m := _FUNCTION.match(line))]
 
 
 def attach(functions: list[Span], comments: list[Span], lines: list[str], python: bool) -> list[tuple[Span, str]]:

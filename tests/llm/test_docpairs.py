@@ -1,3 +1,4 @@
+import time
 import pytest
 
 from graphloom.llm import docpairs as D
@@ -51,3 +52,16 @@ def test_valid_row_decides(spark, rows):
     assert rows(D.documented(df)) == [("b",), ("d",)]
     assert rows(D.pairs(df)) == [("b", "g()", told), ("d", None, told)]
     assert rows(D.documented(df.limit(0))) == []
+
+
+def test_signature_of_many_lines():
+    body = "def f(\n" + "".join(f"    a{i},\n" for i in range(100)) + '):\n    """Drops late rows."""\n    return 1'
+    assert "late rows" in D.documentation(None, body, "python")
+    assert [(f.start, f.end) for f in D.function_spans(body.split("\n"))] == [(0, 101)]
+
+
+def test_signatures_that_never_close_take_one_pass():
+    lines = ["def f(a,"] * 20_000
+    at = time.process_time()
+    assert D.function_spans(lines)[0].end == len(lines) - 1 and D.documentation(None, "\n".join(lines), "python") == ""
+    assert time.process_time() - at < 5
