@@ -1,16 +1,27 @@
 """Evaluation texts leaking into training texts.
 
-Method: a set join over word shingles. Shingles that many items share (instructions) carry no evidence and are left out;
-they are counted once over all items, copies and near-copies of an item as one. All other shingles of an item are indexed:
-no necessary prefix of the rarest is chosen. A passage of ``min_words`` words holds a known number of them, so a document
-that misses all but a few of an item's shingles cannot hold it; only documents with at least ``min_shingles`` go on.
-Positions then bound the match: hits are chained in the order of both texts, split into stretches no longer apart than an
-odd word or two allows, and each stretch is verified word by word over the item's window. The items are the query set: the
-driver holds them, they go to the executors in blocks of bounded size, each block is one pass over all documents, without
-shuffle, and a document's rows do not depend on other documents nor on the blocks.
-
-Defined results: null and blank texts hold nothing; an item with fewer words than the threshold, apart from shared
-instructions, is never found; repeated items and documents are judged alike, each under its own id.
+Method: a prefix-filtered set join over word shingles. A shingle is two neighbouring words, the longest unit that survives
+an odd word after every other one. Its rarity is the number of documents of the whole corpus that hold it, counted in
+the one pass that reads the texts. A document that holds ``min_words`` words of an item holds at least ``min_words / 2`` of
+the item's shingles, so it must hold one of all but that many of them: this prefix, the rarest first, is all that is joined.
+Length bounds it further (both texts must have covered enough words), positions decide: hits on one diagonal are runs,
+runs are chained in the order of both texts, and what a stretch of the item's size holds is verified exactly.
+
+What a stretch is: a chain of runs of two words or more, each in both texts word by word, worth one for each word less GAP_COST
+for each word skipped between runs on either side; it counts from STRETCH_WORDS words and a worth of STRETCH_WORTH. So an
+inserted word after every two words is bridged, while the frame that two questions of one kind share is not a stretch.
+
+Instructions: an opening of OPENING words or more with which MANY items begin that go on differently. It is cut from its
+items. Copies and near-copies of an item share their openings too, but go on alike: going on differently is measured by the
+distinct five-word shingles of what follows. A passage that items share elsewhere stands for each of them, however many.
+
+One pass reads the texts and keeps (document, position, shingle) of shingles that pass a bitmap of the items' shingles, whose
+size is bounded; all else works on that table. Up to HELD_WORDS item words the prefix index is sent to the executors and no
+document row is shuffled; beyond it documents and prefix meet in a shuffle join. Both give the same rows.
+
+Defined results: null and blank texts hold nothing; an item with fewer words than the threshold, apart from its
+instruction, is never found; repeated items and documents are judged alike, each under its own id; a document's rows do not
+depend on other documents, nor on items that do not share its items' openings.
 """
 
 from __future__ import annotations
@@ -19,26 +30,28 @@ import html
 import math
 import re
 import unicodedata
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of an item a document must hold; TESTDATA leaves 11 to 19 undecided, the middle is taken.
-MIN_WORDS = 16
-#: Words of a shingle that anchors a match. Five, the usual size, would lose passages with an odd word every few words.
-ANCHOR = 3
-#: Distinct anchors of an item below which a passage of MIN_WORDS words cannot be there, odd words included.
-MIN_SHINGLES = 3
-#: Items from which a shingle counts as shared instruction; those of NEAR of their five-word shingles in common (Jaccard) count as one.
-SHARED_BY, NEAR = 4, 0.7
-#: Words that may lie between two anchors of a stretch, and the item words a stretch must have.
-GAP, STRETCH = 8, 5
-#: Items of a block; each at most some 10,000 words, else fewer by ``BLOCK_WORDS``.
-BLOCK_ITEMS, BLOCK_WORDS = 5_000, 2_000_000
+from graphloom.cluster import cut
+
+#: Words of an item a document must hold. TESTDATA says 20; one may be lost to an odd word at the edge.
+MIN_WORDS = 19
+#: Words a stretch must have, what it must be worth, and what a word skipped between two runs costs, in either text.
+STRETCH_WORDS, STRETCH_WORTH, GAP_COST = 6, 6.0, 0.75
+#: Words of the shortest instruction, and items that must go on differently behind it.
+OPENING, MANY = 5, 6
+#: Item words up to which the prefix index is sent to the executors.
+HELD_WORDS = 2_000_000
+#: Bits of the largest bitmap of item shingles (32 MiB).
+BITMAP = 28
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--.*?-->", re.S)
@@ -68,154 +81,125 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _counts(w: list[str], shared: frozenset[tuple[str, ...]]) -> list[bool]:
-    """Which words of an item are no shared instruction."""
-    counts = [True] * len(w)
-    for k in range(len(w) - 4):
-        if tuple(w[k : k + 5]) in shared:
-            counts[k : k + 5] = [False] * 5
-    return counts
+# --- shingles ------------------------------------------------------------------------------------------------------
 
 
-def _near(sets: list[set[tuple[str, ...]]]) -> list[int]:
-    """The group of each set: sets of similarity NEAR or more are in one, also by way of others. Sets meet on their rarest members only."""
-    n = Counter(x for s in sets for x in s)
-    up = list(range(len(sets)))
+class _Hashes(dict):
+    """64-bit hashes of words; forgets all when it grows large, which changes nothing."""
 
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
 
-    index: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for i, s in enumerate(sets):
-        tried = set()
-        for x in sorted(s, key=lambda x: (n[x], x))[: len(s) - math.ceil(NEAR * len(s) - 1e-9) + 1]:
-            if n[x] < 2:
-                continue
-            for j in index[x]:
-                a, b = find(i), find(j)
-                if a != b and j not in tried:
-                    tried.add(j)
-                    both = len(s & sets[j])
-                    if both >= NEAR * (len(s) + len(sets[j]) - both) - 1e-9:
-                        up[max(a, b)] = min(a, b)
-            index[x].append(i)
-    return [find(i) for i in range(len(sets))]
-
-
-def _shared(sets: list[set[tuple[str, ...]]], groups: list[int]) -> frozenset[tuple[str, ...]]:
-    """Members that sets of SHARED_BY or more groups hold."""
-    last: dict[tuple[str, ...], int] = {}
-    n: Counter[tuple[str, ...]] = Counter()
-    for i in sorted(range(len(sets)), key=groups.__getitem__):
-        for x in sets[i]:
-            if last.get(x) != groups[i]:
-                last[x] = groups[i]
-                n[x] += 1
-    return frozenset(x for x, k in n.items() if k >= SHARED_BY)
-
-
-def instructions(items: list[list[str]]) -> tuple[frozenset[tuple[str, ...]], frozenset[tuple[str, ...]]]:
-    """Five-word shingles, and of the words outside these the anchors, that many items share; counted over all ``items``."""
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in items]
-    groups = _near(sets)
-    shared = _shared(sets, groups)
-    return shared, _shared([{s for s, _ in _anchors(w, _counts(w, shared))} for w in items], groups)
-
-
-def _anchors(w: list[str], counts: list[bool]) -> Iterator[tuple[tuple[str, ...], int]]:
-    """Anchors of an item with their positions."""
-    for k in range(len(w) - ANCHOR + 1):
-        if all(counts[k : k + ANCHOR]):
-            yield tuple(w[k : k + ANCHOR]), k
-
-
-class Items:
-    """Words of a block of items, given as text or words, and the inverted index of their anchors but the ``common`` ones."""
-
-    def __init__(self, rows: list[tuple[int, str | list[str]]], shared: frozenset[tuple[str, ...]], common: frozenset[tuple[str, ...]] = frozenset()) -> None:
-        self.words = {i: words(t) if isinstance(t, str) else t for i, t in rows if t}
-        self.counts: dict[int, list[bool]] = {}
-        self.index: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for i, w in self.words.items():
-            counts = self.counts[i] = _counts(w, shared)
-            for s, k in _anchors(w, counts):
-                if s not in common:
-                    self.index[s].append((i, k))
-        self.index = dict(self.index)
-
-    def found(self, doc: list[str], min_words: int) -> list[tuple[int, int]]:
-        index = self.index
-        hits = [k for k, s in enumerate(zip(doc, doc[1:], doc[2:])) if s in index]
-        if len(hits) < MIN_SHINGLES:
-            return []
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k in hits:
-            for i, at in index[(doc[k], doc[k + 1], doc[k + 2])]:
-                by_item[i].append((k, at))
-        out = []
-        for i, pairs in by_item.items():
-            if len({at for _, at in pairs}) >= MIN_SHINGLES:
-                held = self._held(doc, i, pairs)
-                if held >= min_words:
-                    out.append((i, held))
-        return out
 
-    def _held(self, doc: list[str], item: int, pairs: list[tuple[int, int]]) -> int:
-        """Words of the item in order, over all stretches."""
-        chain = _increasing(sorted(pairs, key=lambda p: (p[0], -p[1])))
-        w, counts = self.words[item], self.counts[item]
-        total, held, last = 0, set(), None
-        for d, a in chain:
-            if last is not None and (d - last[0] > GAP + ANCHOR or a - last[1] > GAP + ANCHOR):
-                total += len(held) if len(held) >= STRETCH else 0
-                held = set()
-            elif last is not None and d - last[0] > ANCHOR and a - last[1] > ANCHOR:
-                held |= {last[1] + ANCHOR + k for k in _common(w[last[1] + ANCHOR : a], doc[last[0] + ANCHOR : d])}
-            held |= set(range(a, a + ANCHOR))
-            held = {k for k in held if counts[k]}
-            last = (d, a)
-        return total + (len(held) if len(held) >= STRETCH else 0)
-
-
-def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest chain of pairs whose second parts increase strictly."""
-    tails: list[int] = []
-    ends: list[int] = []
-    before: list[int] = []
-    for n, (_, a) in enumerate(pairs):
-        k = bisect_left(tails, a)
-        before.append(ends[k - 1] if k else -1)
-        if k == len(tails):
-            tails.append(a)
-            ends.append(n)
-        else:
-            tails[k], ends[k] = a, n
-    out = []
-    n = ends[-1] if ends else -1
-    while n >= 0:
-        out.append(pairs[n])
-        n = before[n]
-    return out[::-1]
-
-
-def _common(a: list[str], b: list[str]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``; both are at most GAP words."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append(i)
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
+def _shingles(h: np.ndarray, n: int = 2) -> np.ndarray:
+    """Hashes of all ``n`` neighbouring words, as signed numbers."""
+    size = max(0, len(h) - n + 1)
+    out = np.zeros(size, dtype=np.uint64)
+    for k in range(n):
+        out = (out ^ h[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def shingles(text_words: list[str], n: int = 2) -> np.ndarray:
+    return _shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in text_words], dtype=np.uint64), n)
+
+
+# --- verification --------------------------------------------------------------------------------------------------
+
+
+def _runs(doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order, and starts in it, of hits that go on in both texts; words of each run, and its number by hit. Hits are (doc, item) positions of equal shingles."""
+    order = np.lexsort((doc, doc - item))
+    d, diagonal = doc[order], (doc - item)[order]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (diagonal[1:] != diagonal[:-1]) | (d[1:] != d[:-1] + 1)
+    starts = np.flatnonzero(new)
+    return order, starts, np.diff(np.append(starts, len(d))) + 1, np.cumsum(new) - 1
+
+
+def held(doc: np.ndarray, item: np.ndarray, least: int = MIN_WORDS) -> int:
+    """Words of the item that stand in the document, in order, over all stretches; 0 if fewer than ``least``."""
+    order, starts, size, _ = _runs(doc, item)
+    if size.sum() < least:
+        return 0
+    runs = sorted(zip(doc[order][starts].tolist(), item[order][starts].tolist(), size.tolist()))
+    worth, words_, back, own = [], [], [], []
+    near: list[int] = []  # runs that a later one may still be chained to
+    for i, (p, a, n) in enumerate(runs):
+        best, total, last, gained = float(n), n, -1, n
+        kept = []
+        for j in near:
+            q, c, m = runs[j]
+            dp, da = p - q - m, a - c - m
+            if dp * GAP_COST >= worth[j]:
+                continue
+            kept.append(j)
+            if p <= q or a <= c:
+                continue
+            over = max(0, -dp, -da)
+            gain = n - over
+            if gain < 1:
+                continue
+            value = worth[j] + gain - GAP_COST * (dp + da + 2 * over)
+            if value > best:
+                best, total, last, gained = value, words_[j] + gain, j, gain
+        near = [*kept, i]
+        worth.append(best)
+        words_.append(total)
+        back.append(last)
+        own.append(gained)
+    used = [False] * len(runs)
+    stretches = []
+    for i in sorted(range(len(runs)), key=lambda i: -worth[i]):
+        k, first, total = i, i, 0
+        while k >= 0 and not used[k]:
+            used[k] = True
+            total += own[k]
+            first, k = k, back[k]
+        if first == i and used[i] and not total:
+            continue
+        value = worth[i] - (worth[first] - runs[first][2] if k >= 0 else 0)
+        total += runs[first][2] - own[first] if k >= 0 else 0
+        if total >= STRETCH_WORDS and value >= STRETCH_WORTH:
+            stretches.append((runs[first][0], runs[first][1], runs[i][0] + runs[i][2], runs[i][1] + runs[i][2], total))
+    most = _in_order(stretches)
+    return most if most >= least else 0
+
+
+def _in_order(stretches: list[tuple[int, int, int, int, int]]) -> int:
+    """The most words over stretches (starts in both texts, ends in both, words) that follow one another in both texts."""
+    if len(stretches) < 2:
+        return stretches[0][4] if stretches else 0
+    ends = sorted({s[3] for s in stretches})
+    tree = [0] * (len(ends) + 1)  # prefix maxima by end in the item
+    at = {e: k + 1 for k, e in enumerate(ends)}
+    value = [0] * len(stretches)
+    events = sorted([(s[0], 1, n) for n, s in enumerate(stretches)] + [(s[2], 0, n) for n, s in enumerate(stretches)])
+    for _, starts, n in events:
+        s = stretches[n]
+        if starts:
+            low, high = 0, len(ends)
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (mid + 1, high) if ends[mid] <= s[1] else (low, mid)
+            best = 0
+            while low:
+                best = max(best, tree[low])
+                low -= low & -low
+            value[n] = best + s[4]
         else:
-            j += 1
-    return out
+            k = at[s[3]]
+            while k < len(tree):
+                tree[k] = max(tree[k], value[n])
+                k += k & -k
+    return max(value)
+
+
+# --- items ---------------------------------------------------------------------------------------------------------
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,46 +207,175 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(words(t.as_py())) for t in batch.column(1)], pa.string())], names=["item_id", "key"])
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[list[int], list[str]]]]:
-    """The query set, one row different words with the ids that have them, in blocks of bounded size."""
-    block, size = [], 0
-    for ids, t in items.toLocalIterator():
-        block.append((list(ids), t.split(" ")))
-        size += len(block[-1][1]) + len(ids)
-        if len(block) >= BLOCK_ITEMS or size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each item its shingles of two and of five words, and the hash of each opening."""
+    for f in frames:
+        h = [np.array([xxhash.xxh3_64_intdigest(w) for w in t.split(" ")], dtype=np.uint64) for t in f["key"]]
+        openings = []
+        for t in f["key"]:
+            x, out = xxhash.xxh3_64(), []
+            for k, w in enumerate(t.split(" ")):
+                x.update(w + " ")
+                if k + 1 >= OPENING:
+                    out.append(x.intdigest() - 2**63)
+            openings.append(out)
+        yield pd.DataFrame({"item": f["item"], "item_ids": f["item_ids"], "shingles": [_shingles(x) for x in h], "fives": [np.unique(_shingles(x, 5)) for x in h], "openings": openings})
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, item_id, words: documents with at least ``min_words`` words of an item."""
-    spark = documents.sparkSession
+def prepared(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """item (number of a text), item_ids, shingles: each different text once, without its instruction, if long enough."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    # copies of a text, however spelled, are one query, else they would pass for an instruction that many items share
-    items = items.mapInArrow(_keyed, "item_id long, key string").filter("key <> ''").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select("item_ids", "key")
-    blocks = list(_blocks(items))
-    shared, common = instructions([w for block in blocks for _, w in block])
+    # copies of a text, however spelled, are one
+    one = items.mapInArrow(_keyed, "item_id long, key string").filter("key <> ''").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    one = one.select(F.xxhash64("key").alias("item"), "item_ids", "key").mapInPandas(_shingled, "item long, item_ids array<long>, shingles array<long>, fives array<long>, openings array<long>")
+    one = cut(one)
+    opening = one.select("item", F.posexplode("openings").alias("k", "opening")).withColumn("k", F.col("k") + OPENING)
+    many = opening.groupBy("k", "opening").agg(F.count("*").alias("n")).filter(F.col("n") >= MANY)
+    longest = opening.join(many, ["k", "opening"]).groupBy("item", "n").agg(F.max_by("opening", "k").alias("opening"), F.max("k").alias("k"))
+    behind = longest.join(one.select("item", F.explode("fives").alias("five")), "item").groupBy("k", "opening", "n").agg(F.countDistinct("five").alias("different"), F.count("*").alias("all"))
+    same = F.col("k") - 4  # five-word shingles of the opening itself
+    spread = (F.col("different") - same) / (F.col("all") / F.col("n") - same)
+    real = behind.filter((F.col("all") / F.col("n") - same >= 1) & (spread >= MANY)).select("k", "opening")
+    cuts = longest.join(real, ["k", "opening"]).groupBy("item").agg(F.max("k").alias("k"))
+    out = one.join(cuts, "item", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    out = out.select("item", "item_ids", F.slice("shingles", F.col("k") + 1, F.greatest(F.size("shingles") - F.col("k"), F.lit(0))).alias("shingles"))
+    return out.filter(F.size("shingles") >= min_words - 1)
+
+
+# --- operator ------------------------------------------------------------------------------------------------------
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each value of the lowest ``bits`` bits of the shingles; at most 2 ** (bits - 6) rows come to the driver."""
+    low = F.col("shingle").bitwiseAND(2**bits - 1)
+    rows = keys.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(shingle & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(2 ** (bits - 6), dtype=np.uint64)
+    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bit"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def hits(documents: DataFrame, bitmap: np.ndarray, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, at, shingle (arrays) of documents of enough words: the shingles that items may hold, and where they stand."""
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hashes = sent.value, _Hashes()
+        mask = np.int64(len(known) * 64 - 1)
+        for batch in batches:
+            ids, flat, ends = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                w = words(t.as_py())
+                if len(w) >= min_words:
+                    ids.append(i)
+                    flat += [hashes[x] for x in w]
+                    ends.append(len(flat))
+            keys = _shingles(np.array(flat, dtype=np.uint64))
+            low = keys & mask
+            hit = (known[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) != 0
+            if len(ends):
+                hit[np.array(ends[:-1], dtype=np.int64) - 1] = False  # not across documents
+            where = np.flatnonzero(hit)
+            n = np.searchsorted(where, ends)
+            starts = np.array([0, *ends[:-1]], dtype=np.int64)
+            at = where - np.repeat(starts, np.diff(np.append(0, n))) if len(ends) else where
+            offsets = pa.array(np.append(0, n).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(keys[where]))], names=["doc_id", "at", "shingle"]
+            )
+
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    schema = "doc_id long, item_id long, words int"
-    out = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast((block, shared, common))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block, shared, common = sent.value
-            index = Items([(n, w) for n, (_, w) in enumerate(block)], shared, common)
+    return docs.mapInArrow(run, "doc_id long, at array<int>, shingle array<long>").filter("size(at) > 0")
+
+
+class Index:
+    """Shingles of all items with their places, and which of them belong to an item's prefix."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        """``rows``: item (0, 1, ...), at, shingle, prefix."""
+        rows = rows.sort_values(["shingle", "item", "at"], ignore_index=True)
+        self.keys, self.starts = np.unique(rows["shingle"].to_numpy(), return_index=True)
+        self.ends = np.append(self.starts[1:], len(rows))
+        self.item, self.at, self.prefix = rows["item"].to_numpy(dtype=np.int32), rows["at"].to_numpy(dtype=np.int32), rows["prefix"].to_numpy(dtype=bool)
+
+    def found(self, at: np.ndarray, shingle: np.ndarray, least: int) -> list[tuple[int, int]]:
+        """(item, words) of the items a document holds."""
+        if not len(self.keys):
+            return []
+        k = np.minimum(np.searchsorted(self.keys, shingle), len(self.keys) - 1)
+        ok = self.keys[k] == shingle
+        if 2 * ok.sum() < least:
+            return []
+        k, at = k[ok], at[ok]
+        n = self.ends[k] - self.starts[k]
+        where = np.repeat(self.starts[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        item, a, d = self.item[where], self.at[where], np.repeat(at, n)
+        # the prefix proposes; then enough shingles, at different places of both texts
+        proposed = np.bincount(item, self.prefix[where]) > 0
+        proposed &= 2 * np.bincount(item) >= least
+        keep = proposed[item]
+        item, a, d = item[keep].astype(np.int64), a[keep].astype(np.int64), d[keep].astype(np.int64)
+        out = []
+        for side in (d, a):
+            wide = np.int64(side.max(initial=0) + 2)
+            covered = np.bincount(np.unique(np.concatenate([item * wide + side, item * wide + side + 1])) // wide, minlength=len(proposed))
+            proposed &= covered >= least
+        order = np.argsort(item, kind="stable")
+        item, a, d = item[order], a[order], d[order]
+        for i in np.flatnonzero(proposed):
+            lo, hi = np.searchsorted(item, i), np.searchsorted(item, i, "right")
+            n = held(d[lo:hi], a[lo:hi], least)
+            if n:
+                out.append((int(i), n))
+        return out
+
+
+_OUT = "doc_id long, item_id long, words int"
+
+
+def _rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32())], names=["doc_id", "item_id", "words"])
+
+
+def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, held_words: int = HELD_WORDS) -> DataFrame:
+    """doc_id, item_id, words: documents with at least ``min_words`` words of an item."""
+    spark = documents.sparkSession
+    asked = cut(prepared(items, min_words))
+    places = asked.select("item", F.size("shingles").alias("n"), F.posexplode("shingles").alias("at", "shingle"))
+    size = asked.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    found = cut(hits(documents, _bitmap(places, min(BITMAP, max(12, math.ceil(math.log2(max(1, 16 * size)))))), min_words))
+    rarity = found.select(F.explode(F.array_distinct("shingle")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("documents"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("documents", F.lit(0)), "shingle", "at"))
+    places = places.join(rarity, "shingle", "left").select("item", "at", "shingle", (rank <= F.col("n") - math.ceil(min_words / 2) + 1).alias("prefix"))
+    enough = found.filter(F.size("at") >= math.ceil(min_words / 2))
+    if size <= held_words:
+        ids = asked.select("item", "item_ids").toPandas()
+        number = {x: k for k, x in enumerate(ids["item"])}
+        rows = places.toPandas()
+        rows["item"] = [number[x] for x in rows["item"]]
+        sent = spark.sparkContext.broadcast((Index(rows), [[int(x) for x in copies] for copies in ids["item_ids"]]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, copies = sent.value
             for batch in batches:
-                ids, found = batch.column(0).to_pylist(), []
-                for i, t in zip(ids, batch.column(1)):
-                    w = words(t.as_py())
-                    if len(w) >= min_words:
-                        found.extend((i, copy, n) for k, n in index.found(w, min_words) for copy in block[k][0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32())], names=["doc_id", "item_id", "words"]
-                )
-
-        part = docs.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("words")).limit(0)
+                out = []
+                for i, at, shingle in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    out += [(i, c, n) for k, n in index.found(at.values.to_numpy(), shingle.values.to_numpy(), min_words) for c in copies[k]]
+                yield _rows(out)
+
+        return enough.mapInArrow(run, _OUT)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, at, shingle, copies, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
+                index = _of_one(wanted.values.to_numpy())
+                out += [(i, c, n) for _, n in index.found(at.values.to_numpy(), shingle.values.to_numpy(), min_words) for c in copies]
+            yield _rows(out)
+
+    pairs = enough.select("doc_id", F.explode(F.array_distinct("shingle")).alias("shingle")).join(places.filter("prefix").select("item", "shingle"), "shingle").select("doc_id", "item").distinct()
+    pairs = pairs.join(enough, "doc_id").join(asked, "item").select("doc_id", "at", "shingle", "item_ids", "shingles")
+    return pairs.mapInArrow(verify, _OUT)
+
+
+def _of_one(wanted: np.ndarray) -> Index:
+    return Index(pd.DataFrame({"item": 0, "at": np.arange(len(wanted)), "shingle": wanted, "prefix": True}))

@@ -2,6 +2,7 @@ import json
 import random
 import time
 
+import numpy as np
 import pytest
 
 from graphloom.llm import leakage, provenance, reading, tokens
@@ -70,54 +71,111 @@ def test_leaks(spark, rows):
     assert rows(leakage.leaks(df.limit(0), it)) == [] and rows(leakage.leaks(df, it.limit(0))) == []
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
-    items = make_items()
-    df = spark.createDataFrame([(i, "x y z " + t) for i, t in items.items()], "doc_id long, text string")
-    it = spark.createDataFrame([(i, t) for i, t in items.items()], "item_id long, text string")
-    whole = {tuple(r) for r in leakage.leaks(df, it).collect()}
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 3)
-    assert {tuple(r) for r in leakage.leaks(df, it).collect()} == whole and len(whole) == 8
+def frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def leaked(spark, docs, items, **how):
+    return {(r.doc_id, r.item_id) for r in leakage.leaks(*frames(spark, docs, items), **how).collect()}
+
+
+def nonsense(seed, n):
+    r = random.Random(seed)
+    return [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('klmnp')}{r.randrange(10_000)}" for _ in range(n)]
+
+
+def held_brute(doc, item, least=leakage.MIN_WORDS):
+    """Every shingle of the document against every one of the item, no index and no prefix."""
+    d, i = leakage.shingles(leakage.words(doc)), leakage.shingles(leakage.words(item))
+    return leakage.held(*np.nonzero(d[:, None] == i[None]), least) if len(d) and len(i) else 0
+
+
+@pytest.mark.parametrize("how", [{}, {"held_words": 0}])
+def test_against_every_pair(spark, how):
+    """Index in the executors and shuffle join give what holding every document against every item gives, whatever stands between the words."""
+    r = random.Random(11)
+    items = [(i, " ".join(r.choice(WORDS + ["the", "of", "and", "in"] * 8) for _ in range(r.choice([12, 25, 60, 300])))) for i in range(25)] + [(90, items_ := " ".join(nonsense(1, 40)))]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for every in (2, 3, 4, 6, 50):
+            n = r.choice([8, 21, 30, 45])
+            at = r.randrange(max(1, len(w) - n + 1))
+            docs.append((len(docs), " ".join(["so it goes"] * r.randrange(4) + [x + " odd" * (k % every == every - 1) for k, x in enumerate(w[at : at + n])] + ["and that is it"])))
+    docs += [(900, docs[3][1] + " well " + docs[70][1]), (901, " ".join(d for _, d in docs)), (902, " ".join(items_.split()[:10] + ["x"] * 40 + items_.split()[20:33]))]
+    want = {(d, i) for d, t in docs for i, u in items if held_brute(t, u)}
+    assert leaked(spark, docs, items, **how) == want and (902, 90) in want and len(want) > 60
 
 
-@pytest.mark.parametrize("block", [5_000, 2])
-def test_copies_are_one_item(spark, monkeypatch, block):
+def test_odd_words_every_few_words(spark):
+    """Passages of 20 words with a word put in after every 2 to 6 words, and of 30 with every third to seventh word replaced."""
+    w = nonsense(2, 60)
+    docs = []
+    for every in range(2, 7):
+        for at in range(0, 40, 10):
+            docs.append((len(docs), " ".join(x + " odd" * (k % every == every - 1) for k, x in enumerate(w[at : at + 20]))))
+        for at in range(0, 31, 10):
+            docs.append((len(docs), " ".join("odd" if k % (every + 1) == every else x for k, x in enumerate(w[at : at + 30]))))
+    assert leaked(spark, docs, [(1, " ".join(w))]) == {(d, 1) for d, _ in docs}
+
+
+def test_shared_passages_and_added_items_change_nothing(spark):
+    """A passage inside three, four or seventy items stands for each of them; items that reuse an item's words one by one take nothing away, nor do 20,000 more items."""
+    shared, alone = nonsense(3, 30), nonsense(4, 25)
+    for many in (3, 4, 70):
+        items = [(i, " ".join(nonsense(100 + i, 20) + shared + nonsense(300 + i, 20))) for i in range(many)] + [(999, " ".join(alone))]
+        # others that reuse each triple of the item found alone
+        items += [(2000 + k, " ".join(nonsense(5000 + k, 15) + alone[k % 23 : k % 23 + 3] + nonsense(7000 + k, 15))) for k in range(69)]
+        docs = [(1, "x y z " + " ".join(shared)), (2, " ".join(alone)), (3, " ".join(nonsense(9, 40)))]
+        assert leaked(spark, docs, items) == {(1, i) for i in range(many)} | {(2, 999)}
+    more = [(10_000 + k, " ".join(nonsense(50_000 + k, 25))) for k in range(20_000)]
+    assert leaked(spark, docs, items + more) == {(1, i) for i in range(70)} | {(2, 999)}
+
+
+def test_instructions_are_openings_that_go_on_differently(spark):
+    said = "Read the notes about the code graph below and answer in one short paragraph saying why it is so"
+    tails = {i: nonsense(800 + i, 40) for i in range(8)}
+    docs = [(1, said + " " + " ".join(tails[0][:8])), (2, " ".join(tails[1][:25])), (3, said)]
+    items = [(i, said + " " + " ".join(t)) for i, t in tails.items()]
+    assert leaked(spark, docs, items) == {(2, 1)}
+    # fewer items than an instruction needs: their opening is part of them
+    assert leaked(spark, docs, items[:3]) == {(1, 0), (2, 1)} | {(3, i) for i in range(3) if held_brute(said, items[i][1])} | {(1, i) for i in range(3) if held_brute(docs[0][1], items[i][1])}
+
+
+def test_copies_are_one_item(spark):
     """Copies that differ in case, spacing and punctuation, near-copies with an odd word, and a repeated id with another text; a real instruction stays one."""
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", block)
     items = make_items(12)
     w = {i: t.split() for i, t in items.items()}
     spelled = [items[0].upper(), "  ".join(w[0]), ", ".join(w[0]), items[0] + "!", "<b>" + items[0] + "</b>"]
     odd = [" ".join(w[2][:k] + ["other"] + w[2][k + 1 :]) for k in (12, 22, 32, 42, 52)]
     asked = [(i, t) for i, t in items.items()] + [(100 + k, t) for k, t in enumerate(spelled)] + [(200 + k, t) for k, t in enumerate(odd)] + [(0, items[4])]
     docs = [(1, "x y z " + items[0]), (2, "x y z " + " ".join(w[2][:30])), (3, items[1][:72] + " x y z"), (4, items[4])]
-    got = {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")).collect()}
-    assert got == {(1, 0), (2, 2), (4, 0), (4, 4)} | {(1, 100 + k) for k in range(5)} | {(2, 200 + k) for k in range(5)}
-
-
-def test_near_sets_against_brute_force():
-    r = random.Random(3)
-    sets = [{(x,) for x in r.sample(range(30), r.randrange(0, 12))} for _ in range(60)]
-    sets += [s - {next(iter(s))} for s in sets if s] + [set(), set(sets[0])]
-    group = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a and b and len(a & b) >= leakage.NEAR * len(a | b) - 1e-9:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    found = leakage._near(sets)
-    assert all((group[i] == group[j]) == (found[i] == found[j]) for i in range(len(sets)) for j in range(i))
+    assert leaked(spark, docs, asked) == {(1, 0), (2, 2), (4, 0), (4, 4)} | {(1, 100 + k) for k in range(5)} | {(2, 200 + k) for k in range(5)}
 
 
 def test_found_against_brute_force():
     """Contiguous passages of every length: those of at least the threshold are found, those of ten words are not."""
-    items = make_items(4)
-    rows_ = list(items.items())
-    index = leakage.Items(rows_, frozenset())
-    for i, t in rows_:
+    for t in make_items(4).values():
         w = leakage.words(t)
         for n in (10, 20, 31, len(w)):
             for at in range(0, len(w) - n + 1, 7):
-                got = dict(index.found(["so"] * 5 + w[at : at + n] + ["and"] * 5, leakage.MIN_WORDS))
-                assert (i in got) == (n >= leakage.MIN_WORDS)
+                got = held_brute(" ".join(["so"] * 5 + w[at : at + n] + ["and"] * 5), t)
+                assert got >= n if n >= leakage.MIN_WORDS else got == 0
+
+
+def test_stretches_in_order():
+    """Against all orders of a few stretches."""
+    from itertools import combinations
+
+    r = random.Random(5)
+    for _ in range(200):
+        s = [(a := r.randrange(30), b := r.randrange(30), a + r.randrange(1, 9), b + r.randrange(1, 9), r.randrange(1, 20)) for _ in range(r.randrange(0, 7))]
+        best = 0
+        for n in range(len(s) + 1):
+            for c in combinations(sorted(s), n):
+                if all(x[2] <= y[0] and x[3] <= y[1] for x, y in zip(c, c[1:])):
+                    best = max(best, sum(x[4] for x in c))
+        assert leakage._in_order(s) == best
 
 
 # --- reading level ---
