@@ -28,7 +28,7 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_causes(spark: SparkSession, d: str) -> DataFrame:
-    return validity.unparsable(table(spark, d, "sources"), table(spark, d, "files")).groupBy("language", "cause").agg(F.count("*").alias("files"), F.sum("cost").alias("edits"))
+    return validity.unparsable(table(spark, d, "sources"), table(spark, d, "files")).groupBy("language", "cause").agg(F.count("*").alias("files"), F.sum("cost").alias("edits"), F.sum(F.col("exact").cast("int")).alias("exact_files"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
