@@ -1,10 +1,16 @@
 """Processing only new or changed records.
 
 Method: a Merkle tree over ranges of the hashed key. A leaf digests its records in any order (two 64-bit XORs and a
-count), a node digests the leaves under it. Two trees are compared from the top; only ranges whose digests differ are
-opened, and only records of differing leaves are compared one by one. Output and tree are published together: both are
-written into a new version folder, and one atomic rename of the pointer makes them current, so a failed run leaves the
-last version in force and can be repeated.
+count), a node digests the leaves under it. The tree of the current records is compared with the published one from the top;
+only ranges whose digests differ are opened, and only records of differing leaves are read from the published state and compared.
+
+Output, tree and state are published together: each run takes its records once, writes what it derives from that copy into a
+new version folder, and one atomic rename of the pointer makes all of it current. A run that fails at any point leaves the last
+version in force and is repeated as if it had never been; a source that moves while a run writes is picked up by the next one.
+State is kept by top range: a version holds the ranges in which something changed, the pointer names the version of each range.
+
+A record may come without a value but with a weaker sign of its content (``weak``, for files size and time): then the sign is
+compared, and the value is taken over where it agrees. Leaves with such records are opened, as no digest can speak for them.
 
 Defined results: repeated rows count once; a record with a null key is no record; an empty saved tree makes every record new.
 """
@@ -13,11 +19,13 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.cluster import norm_kind
+from graphloom.cluster import cut, norm_kind, shared_dir
 
 #: Records a leaf should hold.
 LEAF_RECORDS = 16
@@ -58,16 +66,35 @@ def changed_leaves(now: DataFrame, saved: DataFrame, depth: int) -> DataFrame:
     return open_
 
 
+def _full(records: DataFrame) -> DataFrame:
+    """key, value, weak of the records that have a key."""
+    weak = F.col("weak") if "weak" in records.columns else F.lit(None).cast("string")
+    return records.select("key", "value", weak.alias("weak")).filter("key is not null")
+
+
+def compared(now: DataFrame, saved: DataFrame) -> DataFrame:
+    """key, value, weak, change of ``now``: added, changed, or null where ``saved`` has the same."""
+    b = saved.select("key", F.col("value").alias("value2"), F.col("weak").alias("weak2"), F.lit(True).alias("was"))
+    bare = F.col("value").isNull() & F.col("weak").isNotNull()
+    same = F.when(bare, F.col("weak").eqNullSafe(F.col("weak2"))).otherwise(F.col("value").eqNullSafe(F.col("value2")))
+    change = F.when(F.col("was").isNull(), "added").when(~same, "changed")
+    return now.join(b, "key", "left").select("key", F.when(bare & same, F.col("value2")).otherwise(F.col("value")).alias("value"), "weak", change.alias("change"))
+
+
+def open_leaves(now: DataFrame, tree: DataFrame, saved_tree: DataFrame, depth: int) -> DataFrame:
+    """Leaves to be opened: those whose digests differ, and those with records that bring no value of their own."""
+    bare = now.filter("value is null and weak is not null").select(key_range(F.col("key"), depth).alias("leaf"))
+    return changed_leaves(tree, saved_tree, depth).unionByName(bare).distinct()
+
+
 def changed_records(now: DataFrame, saved: DataFrame, depth: int | None = None, saved_tree: DataFrame | None = None) -> DataFrame:
-    """Records (key, value; keys unique) of ``now`` that ``saved`` lacks or has with another value, with change: added or changed.
-    ``saved_tree``: the published leaves of ``saved``, made with the same depth."""
+    """Records (key, value, perhaps weak; keys unique) of ``now`` that ``saved`` lacks or has with another value, with change: added or
+    changed. ``saved_tree``: the leaves of ``saved``, made with the same depth."""
+    now, saved = _full(now), _full(saved)
     depth = depth or depth_for(now.count())
-    leaves = changed_leaves(merkle_leaves(now, depth), merkle_leaves(saved, depth) if saved_tree is None else saved_tree, depth)
+    leaves = open_leaves(now, merkle_leaves(now, depth), merkle_leaves(saved, depth) if saved_tree is None else saved_tree, depth)
     inside = lambda df: df.withColumn("leaf", key_range(F.col("key"), depth)).join(leaves, "leaf", "left_semi").drop("leaf")
-    a = inside(now)
-    b = inside(saved).select("key", F.col("value").alias("saved_value"), F.lit(True).alias("was"))
-    out = a.join(b, "key", "left").filter(F.col("was").isNull() | ~F.col("value").eqNullSafe(F.col("saved_value")))
-    return out.select("key", "value", F.when(F.col("was").isNull(), "added").otherwise("changed").alias("change"))
+    return compared(inside(now), inside(saved)).filter("change is not null").select("key", "value", "change")
 
 
 def norm_hash(c: str) -> Column:
@@ -100,23 +127,26 @@ def current_state(listing: DataFrame) -> DataFrame:
     return listing.filter("path is not null").groupBy("path").agg(F.max(row).alias("r")).select("path", "r.content_hash", "r.size", "r.modified_at")
 
 
-def paths_to_index(files: DataFrame, runs: DataFrame, listing: DataFrame, depth: int | None = None) -> DataFrame:
-    """path, change of what the next run has to index. A listing without hash takes over the indexed hash where size and time agree."""
-    saved = indexed_state(files, runs)
-    now = current_state(listing)
-    was = saved.select("path", F.col("content_hash").alias("h2"), F.col("size").alias("s2"), F.col("modified_at").alias("m2"))
-    bare = now.filter("content_hash is null").join(was, "path", "left")
-    same = F.col("size").eqNullSafe(F.col("s2")) & F.col("modified_at").eqNullSafe(F.col("m2"))
-    key = F.col("path").alias("key")
-    bare = bare.select(key, F.when(same, F.col("h2")).otherwise("differs").alias("value"))
-    now = now.filter("content_hash is not null").select(key, F.col("content_hash").alias("value")).unionByName(bare)
-    saved = saved.select(key, F.col("content_hash").alias("value"))
-    depth = depth or depth_for(listing.count())
-    return changed_records(now, saved, depth).select(F.col("key").alias("path"), "change")
+def file_records(state: DataFrame) -> DataFrame:
+    """key, value (16 bytes for the content hash), weak (size and time) of a state of files."""
+    return state.select(F.col("path").alias("key"), F.unhex(F.md5("content_hash")).alias("value"), F.concat_ws("@", F.coalesce(F.col("size").cast("string"), F.lit("")), F.coalesce(F.col("modified_at").cast("string"), F.lit(""))).alias("weak"))
+
+
+def paths_to_index(files: DataFrame, runs: DataFrame, listing: DataFrame, depth: int | None = None, folder: str | None = None) -> DataFrame:
+    """path, change of what the next run has to index, as that run would publish it into ``folder``.
+
+    Where nothing is published there yet, what successful runs wrote is published first. A listing without hash takes over the
+    indexed hash where size and time agree."""
+    spark = files.sparkSession
+    at = Published(spark, folder or f"{shared_dir(spark)}/increment-{uuid.uuid4().hex}")
+    if at.version() is None:
+        at.start(file_records(indexed_state(files, runs)), depth)
+    at.run(file_records(current_state(listing)), lambda changed: changed.select(F.col("key").alias("path"), "change"), depth)
+    return at.read("output")
 
 
 class Published:
-    """Versions of an output and its tree under one folder; ``CURRENT`` names the one in force."""
+    """Versions of an output, its tree and its state under one folder; ``CURRENT`` names the version in force, and that of each range of the state."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -139,32 +169,73 @@ class Published:
             stream.close()
 
     def read(self, part: str) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.folder}/v={v}/{part}")
-
-    def publish(self, output: DataFrame, tree: DataFrame, state: DataFrame, depth: int) -> int:
-        """Write all three, then switch. Whatever an earlier failed run left under the next version is replaced."""
-        v = (self.version() or 0) + 1
-        for name, df in (("output", output), ("tree", tree), ("state", state)):
-            df.write.mode("overwrite").parquet(f"{self.folder}/v={v}/{name}")
+        """``output`` or ``tree`` of the version in force, or the whole ``state``."""
+        now = self._current()
+        if now is None:
+            return None
+        return self.state(now) if part == "state" else self.spark.read.parquet(f"{self.folder}/v={now['version']}/{part}")
+
+    def state(self, now: dict, ranges: set[str] | None = None) -> DataFrame | None:
+        """key, value, weak of the state, of some of its ranges only; at most 256 folders are named."""
+        paths = [f"{self.folder}/v={v}/state/range={r}" for r, v in sorted(now["ranges"].items()) if ranges is None or r in ranges]
+        kind = self.spark.createDataFrame([], f"key string, value {now['value']}, weak string")
+        return self.spark.read.schema(kind.schema).parquet(*paths) if paths else kind
+
+    def _write(self, version: int, part: str, df: DataFrame) -> None:
+        """Whatever an earlier failed run left there is replaced."""
+        (df.write.partitionBy("range") if part == "state" else df.write).mode("overwrite").parquet(f"{self.folder}/v={version}/{part}")
+
+    def _switch(self, current: dict) -> None:
         new = self._path(f"{self.folder}/CURRENT.new")
         out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": v, "depth": depth}).encode()))
+        out.write(bytearray(json.dumps(current).encode()))
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(new, self._path(f"{self.folder}/CURRENT"), options)
-        return v
 
-    def run(self, records: DataFrame, process, depth: int | None = None) -> int:
-        """One incremental run over ``records`` (key, value): ``process`` gets the changed records, its result is the output."""
+    def _ranges(self, version: int) -> list[str]:
+        """Ranges of the state a version has written."""
+        at = self._path(f"{self.folder}/v={version}/state")
+        return [x.getPath().getName().removeprefix("range=") for x in self._fs.listStatus(at) if x.getPath().getName().startswith("range=")]
+
+    @staticmethod
+    def _placed(records: DataFrame) -> DataFrame:
+        """Records with their top range, one task a range; a range is a 256th of the records whatever their keys are."""
+        placed = records.withColumn("range", key_range(F.col("key"), STEP))
+        return placed.repartition("range").sortWithinPartitions("range", "key")
+
+    def start(self, records: DataFrame, depth: int | None = None) -> int:
+        """Publish a first state with its tree and no output."""
+        records = cut(_full(records))
         depth = depth or depth_for(records.count())
-        saved, tree = self.read("state"), None
-        if saved is None:
-            saved = records.limit(0)
-        elif self._current().get("depth") == depth:
-            tree = self.read("tree")
-        changed = changed_records(records, saved, depth, tree)
-        return self.publish(process(changed), merkle_leaves(records, depth), records, depth)
+        self._write(1, "tree", merkle_leaves(records, depth))
+        self._write(1, "state", self._placed(records))
+        self._switch({"version": 1, "depth": depth, "value": dict(records.dtypes)["value"], "ranges": {r: 1 for r in self._ranges(1)}, "output": False})
+        return 1
+
+    def run(self, records: DataFrame, process: Callable[[DataFrame], DataFrame], depth: int | None = None) -> int:
+        """One incremental run over ``records`` (key, value, perhaps weak): ``process`` gets the changed ones (key, value, change), its result is the output."""
+        records = cut(_full(records))  # the source is read once, all that is written follows from this copy
+        was = self._current() or {"version": 0, "ranges": {}, "depth": None, "value": dict(records.dtypes)["value"]}
+        depth = depth or depth_for(records.count())
+        v = was["version"] + 1
+        saved_tree = self.spark.read.parquet(f"{self.folder}/v={was['version']}/tree") if was["depth"] == depth else merkle_leaves(self.state(was), depth)
+        leaves = cut(open_leaves(records, cut(merkle_leaves(records, depth)), cut(saved_tree), depth))
+        touched = {r[0] for r in leaves.select(F.substring("leaf", 1, STEP)).distinct().collect()}  # 256 at most
+        inside = lambda df: df.withColumn("leaf", key_range(F.col("key"), depth)).join(leaves, "leaf", "left_semi").drop("leaf")
+        seen = cut(compared(inside(records), inside(self.state(was, touched))))
+        self._write(v, "output", process(seen.filter("change is not null").select("key", "value", "change")))
+        # ranges that were opened are written anew: what was compared, and the rest of their records as they are
+        rest = records.filter(key_range(F.col("key"), STEP).isin(sorted(touched)) if touched else F.lit(False)).withColumn("leaf", key_range(F.col("key"), depth)).join(leaves, "leaf", "left_anti").drop("leaf")
+        state = cut(seen.select("key", "value", "weak").unionByName(rest)) if touched else records.limit(0)
+        self._write(v, "state", self._placed(state))
+        fresh = set(self._ranges(v))
+        ranges = {r: k for r, k in was["ranges"].items() if r not in touched} | {r: v for r in fresh}
+        # digests of leaves with values taken over differ from those of the bare records
+        known = records.filter(~key_range(F.col("key"), STEP).isin(sorted(touched))) if touched else records
+        self._write(v, "tree", merkle_leaves(known.unionByName(state), depth))
+        self._switch({"version": v, "depth": depth, "value": was["value"], "ranges": ranges})
+        return v
