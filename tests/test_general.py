@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from graphloom.operators import increment, orphans, snapshots
@@ -104,8 +105,85 @@ def test_snapshots(spark, rows):
 
 
 def test_ordinals_persist(spark):
-    keys = lambda *k: spark.createDataFrame([("node", x) for x in k], "entity string, item_key string")
-    one = snapshots.ordinals(keys("b", "d", "b"), None, 1)
-    first = {r.item_key: r.ordinal for r in one.collect()}
-    again = {r.item_key: r.ordinal for r in snapshots.ordinals(keys("a", "b", "c", "d"), one, 1).collect()}
-    assert first == {"b": 0, "d": 1} and again == {"b": 0, "d": 1, "a": 2, "c": 3}
+    """A state that is kept and advanced later gives known keys the ordinals they had."""
+    snap = lambda *k: spark.createDataFrame([("node", x, v) for x, v in k], "entity string, item_key string, value string")
+    names = lambda df: snapshots.Chunk(df.filter("change_kind is null").first().names).names
+    one = snapshots.advance(None, snap(("b", "1"), ("d", "1"), ("b", "1")), 1, 1)
+    assert names(one) == ["b", "d"]
+    state = one.filter("change_kind is null").select("entity", "chunk", "names", "bits", "digests")
+    two = snapshots.advance(state, snap(("a", "1"), ("b", "1"), ("c", None), ("d", "2"), ("b", "0")), 1, 2)
+    assert names(two) == ["b", "d", "a", "c"]
+    assert {(r.item_key, r.change_kind) for r in two.filter("change_kind is not null").collect()} == {("a", "added"), ("c", "added"), ("d", "changed")}
+
+
+def test_bitmaps():
+    """Every kind of container against sets, through bytes; a dense or constant set takes a few bytes."""
+    r = np.random.default_rng(3)
+    sets = [np.zeros(0, dtype=int), np.arange(70_000), np.arange(0, 140_000, 2), np.array([5, 65_535, 65_536, 200_000]), r.choice(200_000, 9_000, replace=False), r.choice(70_000, 50_000, replace=False), np.arange(100, 60_000)]
+    maps = [snapshots.Bitmap.from_bytes(snapshots.Bitmap.of(x).to_bytes()) for x in sets]
+    assert {k for m in maps for k, _ in m.containers.values()} == {0, 1, 2}
+    for x, a in zip(sets, maps):
+        assert a.ordinals().tolist() == sorted(x.tolist())
+        for y, b in zip(sets, maps):
+            assert a.and_not(b).ordinals().tolist() == sorted(set(x.tolist()) - set(y.tolist()))
+            assert a.intersect(b).ordinals().tolist() == sorted(set(x.tolist()) & set(y.tolist()))
+    assert len(maps[1].to_bytes()) < 40
+
+
+def test_runs_can_be_lost_at_every_step(spark, tmp_path, rows, monkeypatch):
+    """A run that dies before or after any write is repeated as if it had never been; a source that moves meanwhile is neither skipped nor repeated."""
+    source = f"file://{tmp_path}/source"
+    put = lambda *k: spark.createDataFrame(list(k), "key string, value string").write.mode("overwrite").parquet(source)
+    read = lambda: spark.read.parquet(source)
+    p = increment.Published(spark, f"file://{tmp_path}/state")
+    keys = lambda changed: changed.select("key", "change")
+    put(("a", "1"), ("b", "1"), ("c", "1"))
+    p.run(read(), keys, 2)
+    real = {"_write": increment.Published._write, "_switch": increment.Published._switch}
+    put(("a", "1"), ("b", "2"), ("d", "1"))
+    for name, at in (("_write", 0), ("_write", 1), ("_write", 2), ("_switch", 0)):
+        for after in (False, True):
+            if name == "_switch" and after:
+                continue
+            calls = []
+
+            def dies(self, *x, name=name, at=at, after=after, calls=calls):
+                calls.append(1)
+                if len(calls) - 1 == at:
+                    if after:
+                        real[name](self, *x)
+                    raise RuntimeError("lost")
+                return real[name](self, *x)
+
+            monkeypatch.setattr(increment.Published, name, dies)
+            with pytest.raises(RuntimeError):
+                p.run(read(), keys, 2)
+            monkeypatch.setattr(increment.Published, name, real[name])
+            assert p.version() == 1 and rows(p.read("state").select("key", "value")) == [("a", "1"), ("b", "1"), ("c", "1")]
+
+    def moves(self, version, part, df):
+        real["_write"](self, version, part, df)
+        put(("a", "9"), ("b", "2"), ("d", "1"), (f"late-{part}", "1"))
+
+    monkeypatch.setattr(increment.Published, "_write", moves)
+    p.run(read(), keys, 2)
+    monkeypatch.setattr(increment.Published, "_write", real["_write"])
+    assert rows(p.read("output")) == [("b", "changed"), ("d", "added")]
+    p.run(read(), keys, 2)
+    assert rows(p.read("output")) == [("a", "changed"), ("late-tree", "added")]
+    p.run(read(), keys, 4)  # another depth: the tree is made anew from the state
+    assert rows(p.read("output")) == []
+
+
+def test_only_touched_ranges_are_written(spark, tmp_path, rows):
+    p = increment.Published(spark, f"file://{tmp_path}/state")
+    many = [(f"k{i}", "v", None) for i in range(3_000)]
+    make = lambda x: spark.createDataFrame(x, "key string, value string, weak string")
+    p.run(make(many), lambda c: c.select("key"), 4)
+    assert len(p._ranges(1)) > 250
+    p.run(make([("k7", "w", None), *[x for x in many if x[0] not in ("k7", "k8")], ("new", None, "1@2")]), lambda c: c.select("key", "change"), 4)
+    assert rows(p.read("output")) == [("k7", "changed"), ("new", "added")] and 1 <= len(p._ranges(2)) <= 3
+    p.run(make([("k7", None, "5@5"), *[x for x in many if x[0] not in ("k7", "k8")], ("new", None, "1@2")]), lambda c: c.select("key", "change"), 4)
+    assert rows(p.read("output")) == [("k7", "changed")] and p.read("state").count() == 3_000
+
+
