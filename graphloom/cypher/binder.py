@@ -15,15 +15,17 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.cypher.syntax import Call, Case, CypherError, Exists, Item, Lit, NodeP, Op, Param, Parser, Prop, RelP, Single, Var, walk
+from graphloom.cluster import cut
 from graphloom.graph import PropertyGraph
 
-#: Longest variable-length path a pattern may ask for.
-MAX_HOPS = 8
+#: Levels of a variable-length path that stay one plan.
+UNROLLED = 3
 
 _FUNCTIONS: dict[str, Callable[..., Column]] = {}
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {}
@@ -153,23 +155,26 @@ class Binder:
         return out.filter(self.tests(r, []))
 
     def hops(self, r: RelP) -> DataFrame:
-        """from, to of paths of low to high edges that meet no node twice, bounded."""
-        high = r.high if r.high is not None else MAX_HOPS
-        if high > MAX_HOPS:
-            raise CypherError(f"paths of more than {MAX_HOPS} edges are not unrolled")
+        """from, to of paths of low to high edges that meet no node twice; without a bound all of them, which end as no node is met twice."""
         v = self.name_of(r)
         self.vars[v] = "value"
         self.types[v] = "array<string>"
         one = self.edge_scan(RelP(f"{v}h", r.kinds, r.direction, r.props)).select(F.col(f"{v}h__from").alias("_a"), F.col(f"{v}h__to").alias("_b")).filter("_a <> _b").distinct()
         self.vars.pop(f"{v}h", None)
         out, walk_ = [], one.select(F.col("_a").alias(f"{v}__from"), F.col("_b").alias(f"{v}__to"), F.array("_a", "_b").alias(v))
-        for n in range(1, high + 1):
+        for n in count(1):
+            if n > UNROLLED:
+                if n == UNROLLED + 1:
+                    one = cut(one)
+                walk_ = cut(walk_)
             if n >= (r.low or 1):
                 out.append(walk_)
-            if n < high:
+            if n == r.high or (n > UNROLLED and walk_.isEmpty()):
+                break
+            if r.high is None or n < r.high:
                 walk_ = walk_.join(one, F.col(f"{v}__to") == F.col("_a")).filter(~F.array_contains(F.col(v), F.col("_b")))
                 walk_ = walk_.select(f"{v}__from", F.col("_b").alias(f"{v}__to"), F.concat(v, F.array("_b")).alias(v))
-        return reduce(lambda a, b: a.unionByName(b), out)
+        return reduce(lambda a, b: a.unionByName(b), out or [walk_.limit(0)])
 
     def expand(self, df: DataFrame, pattern: list) -> DataFrame:
         """Follow a pattern whose first node is bound in ``df``."""

@@ -16,7 +16,7 @@ from graphloom.operators import storage, traverse
 
 DEFAULT = ("id", "kind", "name", "qualified_name", "file_path", "language")
 #: Longest path TRACE follows.
-TRACE_DEPTH = 3
+TRACE_DEPTH = 10
 
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(-?\d+)\b|(--inbound|[A-Za-z_][\w.:/<>-]*)|(!=|<=|>=|[=<>(),*]))")
 
@@ -116,8 +116,7 @@ def query(graph: PropertyGraph, text: str) -> DataFrame:
     nodes = graph.nodes("name", "kind", "file_path").withColumnRenamed("kind", "node_kind")
     if verb == "TRACE":
         a, b = _one(graph, name), _one(graph, str(r.next("word", "str")))
-        seeds = graph.nodes().filter(F.col("id") == a)
-        return traverse.simple_paths(graph.links(), seeds, TRACE_DEPTH).filter(F.col("id") == b).select("path", "length").orderBy("length", "path")
+        return traverse.paths_between(graph.links(), a, b, TRACE_DEPTH).orderBy("length", "path")
     inbound = verb == "IMPACT" or r.word("--INBOUND")
     here, there = ("target", "source") if inbound else ("source", "target")
     found = links.filter(F.col(here) == _one(graph, name)).select(F.col(there).alias("id"), F.col("kind").alias("edge_kind"))

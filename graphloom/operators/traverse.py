@@ -100,6 +100,30 @@ def simple_paths(links: DataFrame, seeds: DataFrame, max_length: int) -> DataFra
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def paths_between(links: DataFrame, source: str, target: str, max_length: int = 10) -> DataFrame:
+    """path ('>'-joined ids), length of all paths of at most ``max_length`` links from one node to another that meet no node twice; of a
+    node to itself the empty one.
+
+    Links that can't be part of one are left out first: a walk goes on only where the target is near enough for the links left."""
+    spark = links.sparkSession
+    if source == target:
+        return spark.createDataFrame([(source, 0)], "path string, length int")
+    end = spark.createDataFrame([(target,)], "id string")
+    left = bfs(links, end, "in", max_length - 1).select("id", F.col("depth").alias("left")).unionByName(end.withColumn("left", F.lit(0)))
+    hop = directed(links, "out").filter(F.col("a") != target).join(left.withColumnRenamed("id", "b"), "b")
+    hop = cut(hop.filter(F.col("left") < max_length))
+    walk = spark.createDataFrame([(source, [source])], "id string, path array<string>")
+    out = []
+    for n in range(1, max_length + 1):
+        walk = walk.join(hop, walk.id == hop.a).filter(F.col("left") <= max_length - n).filter(~F.array_contains("path", F.col("b"))).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
+        if n > UNROLLED:
+            walk = cut(walk)
+            if walk.isEmpty():
+                break
+        out.append(walk.filter(F.col("id") == target).select(F.concat_ws(">", "path").alias("path"), F.lit(n).alias("length")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def closure(links: DataFrame, max_depth: int = 3) -> DataFrame:
     """source, target, depth: pairs connected over 2 to ``max_depth`` links at their least depth, without direct ones and pairs of a node with itself."""
     one = links.select("source", "target").dropna().distinct()

@@ -42,14 +42,14 @@ def ignored(path: Column, lines: list[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, lines: list[str] | None = None, glob: str | None = None, max_bytes: int = 5_000_000) -> DataFrame:
-    """path (below ``root``), content, size, modified_at (s), content_hash of text files up to ``max_bytes`` (a larger file keeps its row, without content)."""
+def scan(spark: SparkSession, root: str, lines: list[str] | None = None, glob: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """path (below ``root``), content, size, modified_at (s), content_hash of text files; with ``max_bytes`` a larger file keeps its row, without content."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(root)
     base = "^(?:[a-z]+:)?/*" + re.escape(re.sub(r"^[a-z]+:/*", "", root).strip("/")) + "/?"
     path = F.regexp_replace(F.col("path"), base, "")
-    kept = files.select(path.alias("path"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("raw"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified_at"))
+    kept = files.select(path.alias("path"), (F.col("content") if max_bytes is None else F.when(F.col("length") <= max_bytes, F.col("content"))).alias("raw"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified_at"))
     kept = kept.filter(~ignored(F.col("path"), [*IGNORED, *(lines or [])]))
     return kept.select("path", F.decode("raw", "UTF-8").alias("content"), "size", "modified_at", F.sha2("raw", 256).alias("content_hash"))
