@@ -145,14 +145,15 @@ def rank_lite(graph: PropertyGraph, query: str) -> DataFrame:
 FULL_WEIGHTS = {"bm25": 1.0, "qualified_name": 1.5, "docstring": 0.8, "ast_similarity": 1.2, "signature": 1.0, "clone": 0.8, "module": 0.7, "diffusion": 1.0, "callers": 1.2, "centrality": 0.6, "dataflow": 0.5}
 
 
-def rank_full(graph: PropertyGraph, query: str, weights: dict[str, float] | None = None) -> DataFrame:
-    """id, score: weighted mean of eleven signals of what full text finds. Graph signals spread from the five candidates whose names fit best."""
+def rank_full(graph: PropertyGraph, query: str, weights: dict[str, float] | None = None, origins: int = 5) -> DataFrame:
+    """id, score: weighted mean of eleven signals of what full text finds. Graph signals spread from the ``origins`` candidates whose
+    names fit best (the smallest ids of equal ones): a parameter of the measure, all candidates are ranked."""
     w = FULL_WEIGHTS | (weights or {})
     want = terms_of(query)
     c = search_text(graph, query, "name", "qualified_name", "docstring", "signature", "file_path", "body")
     low = {k: F.lower(F.coalesce(k, F.lit(""))) for k in ("name", "qualified_name", "docstring", "signature", "file_path", "body")}
     folder = F.regexp_replace("file_path", "/[^/]*$", "")
-    top = c.select("id", _share(low["name"], want).alias("fit"), folder.alias("folder")).orderBy(F.desc("fit"), "id").limit(5)
+    top = c.select("id", _share(low["name"], want).alias("fit"), folder.alias("folder")).orderBy(F.desc("fit"), "id").limit(origins)
     links = graph.links("calls", "references", "imports")
     near = traverse.bfs(links, top, "both", 2).groupBy("id").agg(F.min("depth").alias("near"))
     flow = traverse.bfs(graph.links("reads", "writes"), top, "both", 1).groupBy("id").agg(F.min("depth").alias("flow"))

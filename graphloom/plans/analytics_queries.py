@@ -233,7 +233,8 @@ add("taint_roles", _roles, graph_sql(
     "SELECT seed AS source, id AS sink, depth FROM bfs WHERE id IN (SELECT source FROM e WHERE kind = 'writes')",
     "seeds AS (SELECT DISTINCT source AS id FROM e WHERE kind = 'reads' AND source IN (SELECT id FROM n))", _hop(("calls",), "out"), *_walk(2), links=True, recursive=True))
 _ENDS = lambda words: " OR ".join(f"ends_with(qualified_name, '{w}')" for w in words)
-_SRC, _SNK = ("read", "fetch", "open", "input", "Snapshot", "snapshot"), ("send", "write", "query", "eval", "Report", "report")
+# the vocabularies, and what this data calls its sources and sinks
+_SRC, _SNK = (*analytics.TAINT_SOURCES, "Snapshot", "snapshot"), (*analytics.TAINT_SINKS, "Report", "report")
 add("taint_paths", lambda g: analytics.taint(g.links("reads", "writes", "calls"), analytics.named_like(g, _SRC), analytics.named_like(g, _SNK), 2), graph_sql(
     f"SELECT seed AS source, id AS sink, depth FROM bfs WHERE id IN (SELECT id FROM n WHERE {_ENDS(_SNK)})",
     f"seeds AS (SELECT id FROM n WHERE {_ENDS(_SRC)})", _hop(("reads", "writes", "calls"), "out"), *_walk(2), links=True, recursive=True))
@@ -274,8 +275,10 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: The look-ahead of the rules, spelled for an engine without it: no quote next but for blanks, one later in the line.
+_PLAIN = lambda p: "(?i)" + p.replace(r"""(?!\s*["'])(.+?)["']""", r"""[^\S\n]*[^\s"'][^\n]*?["']""")
 _RULES_SQL = " UNION ALL ".join(
-    f"SELECT id, '{c}' AS category, CASE " + " ".join(f"WHEN regexp_matches(body, {_quoted(p)}) THEN '{s}'" for k, s, p in analytics.SECURITY_RULES if k == c) + " END AS severity FROM b"
+    f"SELECT id, '{c}' AS category, CASE " + " ".join(f"WHEN regexp_matches(body, {_quoted(_PLAIN(p))}) THEN '{s}'" for k, s, p in analytics.SECURITY_RULES if k == c) + " END AS severity FROM b"
     for c in dict.fromkeys(k for k, _, _ in analytics.SECURITY_RULES)
 )
 add("security_scan", analytics.security_findings, graph_sql(

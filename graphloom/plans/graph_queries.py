@@ -73,10 +73,12 @@ def upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries before and after April are merged; sources without a node are dropped."""
+    """Edges that no delivery of April 2025 or later has are the store; all that were seen since, known or new, are merged in. Sources without a node are dropped."""
     g = PropertyGraph.load(spark, d)
-    e = g.edges("id", "target_text")
-    return storage.upsert_edges(e.filter("id % 2 = 0"), e, g.nodes())
+    e = table(spark, d, "edges")
+    late = F.coalesce(F.col("seen_at") >= F.lit("2025-04-01").cast("timestamp"), F.lit(False))
+    part = lambda rows: PropertyGraph(table(spark, d, "nodes"), rows).edges("id", "target_text")
+    return storage.upsert_edges(part(e.filter(~late)), part(e.filter(late)), g.nodes())
 
 
 QUERIES |= {"upsert_nodes": upsert_nodes, "upsert_edges": upsert_edges}
@@ -130,14 +132,13 @@ def gql_trace(g: PropertyGraph) -> DataFrame:
 
 
 add("gql_trace", gql_trace, graph_sql(
-    f"""SELECT path, length FROM (
-      WITH d AS (SELECT DISTINCT source, target FROM l), a AS ({_FAN}),
-      one AS (SELECT target AS id FROM d WHERE source = (SELECT id FROM a) AND target <> source),
-      two AS (SELECT DISTINCT target AS id FROM d WHERE source IN (SELECT id FROM one) AND target <> (SELECT id FROM a) AND target NOT IN (SELECT id FROM one)),
-      b AS (SELECT min(id) AS id FROM two)
-      SELECT x.source || '>' || y.source || '>' || y.target AS path, 2 AS length FROM d x JOIN d y ON y.source = x.target WHERE x.source = (SELECT id FROM a) AND y.target = (SELECT id FROM b) AND x.target <> x.source AND y.target <> y.source
-      UNION ALL SELECT x.source || '>' || y.source || '>' || z.source || '>' || z.target, 3 FROM d x JOIN d y ON y.source = x.target JOIN d z ON z.source = y.target
-      WHERE x.source = (SELECT id FROM a) AND z.target = (SELECT id FROM b) AND x.target NOT IN (x.source, z.target) AND y.target NOT IN (x.source, x.target, z.target))""", links=True))
+    "SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM walk WHERE id = (SELECT id FROM b)",
+    "d AS (SELECT DISTINCT source, target FROM l WHERE source <> target)", f"a AS ({_FAN})", "one AS (SELECT target AS id FROM d WHERE source = (SELECT id FROM a))",
+    "two AS (SELECT DISTINCT target AS id FROM d WHERE source IN (SELECT id FROM one) AND target <> (SELECT id FROM a) AND target NOT IN (SELECT id FROM one))", "b AS (SELECT min(id) AS id FROM two)",
+    "back AS (SELECT id, 0 AS k FROM b UNION SELECT d.source, k + 1 FROM back JOIN d ON d.target = back.id WHERE k < 9)", "near AS (SELECT id, min(k) AS k FROM back GROUP BY 1)",
+    "walk AS (SELECT id, [id] AS path FROM a UNION ALL SELECT d.target, list_append(w.path, d.target) FROM walk w JOIN d ON d.source = w.id JOIN near ON near.id = d.target "
+    "WHERE w.id <> (SELECT id FROM b) AND NOT list_contains(w.path, d.target) AND len(w.path) + near.k <= 10)",
+    links=True, recursive=True))
 
 # --- traversal; seeds are the removed symbols: what their removal touches ---
 
