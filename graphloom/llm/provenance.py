@@ -1,72 +1,151 @@
 """Generated, minified, vendored files and data stored as code.
 
-Method: attribute files (``.gitattributes``) of a repository are parsed, and each path gets its marks by their precedence:
-a deeper folder's file overrides a higher one's, within a file a later line an earlier. For repositories that declare
-nothing, equivalent path patterns are mined from the corpus: a folder name, or a double suffix, counts as a mark where most
-of the files it covers prove by their content what they are. The content itself is the proof: a header in the first comment,
+Method: attribute files (``.gitattributes``) are parsed, and each path gets its marks by their precedence: a deeper folder's
+file overrides a higher one's, within a file a later line an earlier, for each attribute by itself. A path meets only the files
+of its own folders, by an equality join on the folder. For paths that no attribute file speaks of, equivalent patterns
+are mined from the corpus: a folder name, or a double suffix, counts as a mark where most of the files it covers, in several
+repositories, are declared or prove by their content what they are. The content's proof is: a header in the first comment,
 numbered repetition, the density of minified code, the share of literals, and code blocks that stand alike in several
-repositories. A suggestive folder of hand-written code proves nothing and so is never mined.
+repositories. A name alone, however suggestive, proves nothing.
+
+Attributes are read as Git reads them: the first matching attribute of a later line wins, ``-attr`` and ``attr=false`` unset it,
+``!attr`` leaves it unspecified, patterns may be quoted, ``*`` stops at a slash and ``**`` does not, ``[..]`` are classes, a
+pattern without a slash matches the file's name in any folder below, one that ends with a slash names folders only and so no
+file, negative patterns are none, and ``[attr]name`` in a root file defines a macro.
 
 Defined results: null and blank contents are hand-written; repeated rows count once; a path with several contents is a case
-if one of them is; JSON files never are; an explicit ``-linguist-generated`` or ``=false`` clears the file.
+if one of them is; JSON files never are; where ``linguist-generated`` is unset a file is no longer held for generated, minified
+or data, where ``linguist-vendored`` is unset not for vendored, whatever its content or its patterns say.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A mined pattern must cover so many files in so many repositories, and so many of them must prove it.
-MIN_FILES, MIN_REPOS, MIN_SHARE = 5, 2, 0.6
+from graphloom.cluster import cut, small
 
-# Folders that package managers and code generators fill by convention; taken where the corpus doesn't speak against it.
-CONVENTIONS = ("node_modules", "bower_components", "vendor", "third_party", "extern", "deps", "__generated__", "generated", "stubs")
-#: Share of proven files, of MIN_FILES at least, below which the corpus speaks against a convention.
-CONTRADICTED = 0.3
+#: A mined pattern must cover so many files in so many repositories, and so many of them must prove it.
+MIN_FILES, MIN_SHARE = 5, 0.6
+#: Attribute files up to which they are broadcast; beyond it they meet the paths in a shuffle.
+ATTRIBUTE_FILES = 2_000
 
 # --- attribute files -----------------------------------------------------------------------------------------------
 
 
-def parse_attributes(text: str) -> list[tuple[str, str, bool]]:
-    """(pattern, 'generated' or 'vendored', set or cleared) in the order of the file."""
-    out = []
-    for line in text.splitlines():
-        line = line.strip()
-        if not line or line.startswith("#"):
-            continue
-        pattern, *marks = line.split()
-        for m in marks:
-            k = re.fullmatch(r"([-!]?)linguist-(generated|vendored)(?:=(\w+))?", m)
+_FIELD = re.compile(r'"((?:[^"\\]|\\.)*)"(?=\s|$)|(\S+)')
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+_STATE = re.compile(r"([-!]?)([A-Za-z0-9_.-]+)(?:=(.*))?\Z", re.S)
+#: States of an attribute.
+SET, UNSET, UNSPECIFIED = "set", "unset", "unspecified"
+
+
+def _unquoted(s: str) -> str:
+    """A quoted pattern as C would read it; octal escapes are bytes."""
+    out = re.sub(rb"\\([0-7]{3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if len(m[1]) == 3 else _ESCAPES.get(m[1].decode(), m[1].decode()).encode(), s.encode(), flags=re.S)
+    return out.decode("utf-8", "replace")
+
+
+def parse_attributes(text: str, root: bool = True) -> list[tuple[str, str, str]]:
+    """(pattern, 'generated' or 'vendored', state) in the order of the file; macros of a ``root`` file are resolved."""
+    out: list[tuple[str, str, str]] = []
+    macros: dict[str, list[tuple[str, str]]] = {}
+
+    def states(words: str) -> list[tuple[str, str]]:
+        found: list[tuple[str, str]] = []
+        for w in words.split():
+            m = _STATE.match(w)
+            if not m:
+                continue
+            sign, name, value = m.groups()
+            state = UNSPECIFIED if sign == "!" else UNSET if sign == "-" or (value or "").lower() in ("false", "0") else SET
+            if name in macros and state == SET:
+                found.extend(macros[name])
+            k = re.fullmatch(r"linguist-(generated|vendored)", name)
             if k:
-                out.append((pattern, k.group(2), not k.group(1) and (k.group(3) or "true").lower() not in ("false", "0", "unset")))
+                found.append((k.group(1), state))
+        return found
+
+    for line in text.removeprefix("\ufeff").split("\n"):
+        line = line.strip(" \t\r")
+        m = _FIELD.match(line)
+        if not m or line.startswith("#"):
+            continue
+        pattern, rest = _unquoted(m[1]) if m[1] is not None else m[2], line[m.end() :]
+        if m[1] is None and pattern.startswith("[attr]"):
+            if root:
+                macros[pattern[6:]] = states(rest)
+        elif not pattern.startswith("!"):
+            out.extend((pattern, kind, state) for kind, state in states(rest))
     return out
 
 
-def attribute_regex(pattern: str) -> re.Pattern[str]:
-    """A pattern of an attribute file: without a slash it names a file in any folder below, ``**`` crosses folders, ``*`` does not."""
-    anchored = "/" in pattern.rstrip("/")
-    body = pattern.strip("/")
+@lru_cache(100_000)
+def attribute_regex(pattern: str) -> re.Pattern[str] | None:
+    """What a pattern matches of the path below its file's folder; None if that can be no file."""
     if pattern.endswith("/"):
-        body += "/**"
-    out = re.escape(body)
-    for a, b in ((r"\*\*/", "(?:.*/)?"), (r"/\*\*", "/.*"), (r"\*\*", ".*"), (r"\*", "[^/]*"), (r"\?", "[^/]")):
-        out = out.replace(a, b)
-    return re.compile(("" if anchored else "(?:.*/)?") + out + r"\Z")
-
-
-def declared(path: str, files: dict[str, list[tuple[str, str, bool]]]) -> dict[str, bool]:
-    """Marks of ``path`` from attribute files (folder -> lines), the root first, the path's own folder last."""
-    marks: dict[str, bool] = {}
+        return None
+    body = pattern.removeprefix("/")
+    out = "" if "/" in pattern else "(?:.*/)?"
+    i, n = 0, len(body)
+    while i < n:
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("/**", i) and i + 3 == n:
+            out, i = out + "/.+", i + 3
+        elif c == "*":
+            while i < n and body[i] == "*":
+                i += 1
+            out += "[^/]*"
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[":
+            m = re.compile(r"\[([!^]?)(\]?(?:\[:[a-z]+:\]|\\.|[^\]\\])*)\]").match(body, i)
+            if not m:
+                return None  # an open class matches nothing
+            inner = re.sub(r"\[:([a-z]+):\]", lambda k: _CLASSES.get(k[1], ""), m[2])
+            inner = re.sub(r"(?<!\\)([\[&~|^])", r"\\\1", inner)
+            inner = ("\\" + inner) if inner.startswith("]") else inner
+            try:
+                re.compile(f"[{inner}]")
+            except re.error:
+                return None
+            out, i = out + f"(?!/)[{'^' if m[1] else ''}{inner}]", m.end()
+        elif c == "\\" and i + 1 < n:
+            out, i = out + re.escape(body[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(c), i + 1
+    return re.compile(out + r"\Z", re.S)
+
+
+# Named classes of patterns.
+_CLASSES = {"alnum": "A-Za-z0-9", "alpha": "A-Za-z", "digit": "0-9", "lower": "a-z", "upper": "A-Z", "space": r"\s", "xdigit": "A-Fa-f0-9", "punct": r"!-/:-@\[-`{-~"}
+
+
+@lru_cache(10_000)
+def rules_of(text: str, root: bool) -> tuple[tuple[re.Pattern[str], str, str], ...]:
+    """Compiled lines of an attribute file."""
+    return tuple((r, kind, state) for pattern, kind, state in parse_attributes(text, root) if (r := attribute_regex(pattern)) is not None)
+
+
+def states_by(rules: tuple[tuple[re.Pattern[str], str, str], ...], below: str) -> dict[str, str]:
+    """State of each attribute that the lines of one file give to a path below its folder."""
+    return {kind: state for r, kind, state in rules if r.match(below)}
+
+
+def declared(path: str, files: dict[str, str]) -> dict[str, str]:
+    """State of each attribute of ``path`` from attribute files (folder -> text): a deeper one overrides a higher one; the highest is the root."""
+    marks: dict[str, str] = {}
     parts = path.split("/")
-    for depth in range(len(parts)):
-        folder = "/".join(parts[:depth])
-        for pattern, kind, value in files.get(folder, ()):
-            if attribute_regex(pattern).match("/".join(parts[depth:])):
-                marks[kind] = value
+    here = [("/".join(parts[:d]), "/".join(parts[d:])) for d in range(len(parts)) if "/".join(parts[:d]) in files]
+    for k, (folder, below) in enumerate(here):
+        marks |= states_by(rules_of(files[folder], k == 0), below)
     return marks
 
 
@@ -203,25 +282,33 @@ def classify(sources: DataFrame) -> DataFrame:
 
 
 def _attributes(files: DataFrame) -> DataFrame:
-    """path, cleared, marked by the attribute files of its own repository; the lines of a repository travel with its paths."""
-    lines = files.filter("attributes is not null").groupBy("repo").agg(F.collect_list(F.struct("path", "attributes")).alias("files"))
+    """path, generated, vendored (states; null if no file speaks of it): each path meets the attribute files of its own folders."""
+    texts = files.filter("attributes is not null").select(F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.col("attributes"))
+    texts = texts.groupBy("folder").agg(F.max("attributes").alias("attributes"))
+    # a root file is one that no other stands above
+    above = texts.select("folder", F.explode(_folders(F.col("folder"))).alias("over")).join(texts.select(F.col("folder").alias("over")), "over", "left_semi").select("folder").distinct().withColumn("inner", F.lit(True))
+    texts = texts.join(above, "folder", "left").select("folder", "attributes", F.col("inner").isNull().alias("root"))
+    paths = files.filter("attributes is null").select("path").distinct()
+    met = paths.select("path", F.explode(_folders(F.col("path"))).alias("folder")).join(small(texts, ATTRIBUTE_FILES), "folder")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            marked, cleared = [], []
-            for path, found in zip(f["path"], f["files"]):
-                marks = declared(path, {x["path"].rpartition("/")[0]: parse_attributes(x["attributes"]) for x in found})
-                marked.append(any(marks.values()))
-                cleared.append(bool(marks) and not any(marks.values()))
-            yield pd.DataFrame({"path": f["path"], "marked": marked, "cleared": cleared})
+            found = [states_by(rules_of(t, bool(r)), p[len(d) + 1 :] if d else p) for p, d, t, r in zip(f["path"], f["folder"], f["attributes"], f["root"])]
+            yield pd.DataFrame({"path": f["path"], "deep": [len(d) for d in f["folder"]], "generated": [x.get("generated") for x in found], "vendored": [x.get("vendored") for x in found]})
+
+    said = met.mapInPandas(run, "path string, deep int, generated string, vendored string")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("deep"))).alias(c)
+    return said.groupBy("path").agg(last("generated"), last("vendored")).filter("generated is not null or vendored is not null")
 
-    return files.select("path", "repo").distinct().join(lines, "repo").select("path", "files").mapInPandas(run, "path string, marked boolean, cleared boolean")
+
+def _folders(path: Column) -> Column:
+    """All folders a path lies in, the root folder '' too."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
 def judged(sources: DataFrame) -> DataFrame:
     """path, reason of files nobody wrote by hand; reason: declared, generated, minified, vendored, data or mined."""
-    from graphloom.cluster import cut
-
     files = cut(classify(sources).filter(~F.lower("path").endswith(".json")))
     code = files.filter("attributes is null")
     # blocks that stand in several repositories; a block counts once a repository, combined where it is read
@@ -234,15 +321,14 @@ def judged(sources: DataFrame) -> DataFrame:
         .filter("share >= 0.5 or known >= 0.5").select("path", F.lit("vendored").alias("copied"))
     )
     proven = code.join(per_file, "path", "left").select("path", "repo", "marks", F.when(F.col("proof") != "", F.col("proof")).otherwise(F.col("copied")).alias("proof"))
-    proven = cut(proven.groupBy("path", "repo", "marks").agg(F.max("proof").alias("proof")))
-    stats = proven.select("repo", "proof", F.explode("marks").alias("mark")).groupBy("mark").agg(
-        F.count("*").alias("n"), F.count("proof").alias("k"), F.min("repo").alias("a"), F.max("repo").alias("b")
-    )
-    share = F.col("k") / F.col("n")
-    convention = F.col("mark").isin([f"{c}/" for c in CONVENTIONS])
-    mined = stats.filter((convention & ((F.col("n") < MIN_FILES) | (share >= CONTRADICTED))) | ((F.col("n") >= MIN_FILES) & (F.col("a") != F.col("b")) & (share >= MIN_SHARE))).select("mark")
-    open_ = proven.filter("proof is null").select("path", F.explode("marks").alias("mark")).join(mined, "mark", "left_semi").select("path", F.lit("mined").alias("reason")).distinct()
-    found = proven.filter("proof is not null").select("path", F.col("proof").alias("reason")).unionByName(open_)
-    by_attributes = cut(_attributes(files))
-    found = found.join(by_attributes.filter("cleared").select("path"), "path", "left_anti")
-    return found.unionByName(by_attributes.filter("marked").join(found, "path", "left_anti").select("path", F.lit("declared").alias("reason")))
+    proven = proven.groupBy("path", "repo", "marks").agg(F.max("proof").alias("proof")).join(cut(_attributes(files)), "path", "left")
+    # what is declared stands, what is cleared is no proof; each attribute clears its own kind only
+    of_kind = F.when(F.col("proof") == "vendored", F.col("vendored")).otherwise(F.col("generated"))
+    declared_ = (F.col("generated").eqNullSafe(SET)) | (F.col("vendored").eqNullSafe(SET))
+    reason = F.when(declared_, "declared").when(of_kind.eqNullSafe(UNSET), None).otherwise(F.col("proof"))
+    proven = cut(proven.withColumn("reason", reason))
+    stats = proven.select("repo", "reason", F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("n"), F.count("reason").alias("k"), F.min("repo").alias("a"), F.max("repo").alias("b"))
+    mined = stats.filter((F.col("n") >= MIN_FILES) & (F.col("a") != F.col("b")) & (F.col("k") / F.col("n") >= MIN_SHARE)).select("mark")
+    silent = F.coalesce("generated", F.lit(UNSPECIFIED)).eqNullSafe(UNSPECIFIED) & F.coalesce("vendored", F.lit(UNSPECIFIED)).eqNullSafe(UNSPECIFIED)
+    open_ = proven.filter(F.col("reason").isNull() & silent).select("path", F.explode("marks").alias("mark")).join(mined, "mark", "left_semi").select("path", F.lit("mined").alias("reason")).distinct()
+    return proven.filter("reason is not null").select("path", "reason").unionByName(open_)

@@ -262,13 +262,53 @@ def test_long_heads_take_one_pass(run):
     assert time.process_time() - at < 5
 
 
+def states(path, files):
+    return provenance.declared(path, files)
+
+
 def test_attribute_precedence():
-    root = provenance.parse_attributes("*.pb.go linguist-generated\nlib/** linguist-vendored=true\nlib/own/*.py -linguist-vendored\n# x\n*.txt text\n")
-    deep = provenance.parse_attributes("*.pb.go linguist-generated=false")
-    files = {"r": root, "r/x": deep}
-    d = provenance.declared
-    assert d("r/a/b.pb.go", files) == {"generated": True} and d("r/x/b.pb.go", files) == {"generated": False}
-    assert d("r/lib/a/b.py", files) == {"vendored": True} and d("r/lib/own/b.py", files) == {"vendored": False} and d("r/b.py", files) == {}
+    root = "*.pb.go linguist-generated\nlib/** linguist-vendored=true\nlib/own/*.py -linguist-vendored\nlib/own/b.py !linguist-vendored\n# x\n*.txt text\n"
+    files = {"r": root, "r/x": "*.pb.go linguist-generated=false\nlate.pb.go linguist-generated"}
+    assert states("r/a/b.pb.go", files) == {"generated": "set"} and states("r/x/b.pb.go", files) == {"generated": "unset"} and states("r/x/late.pb.go", files) == {"generated": "set"}
+    assert states("r/lib/a/b.py", files) == {"vendored": "set"} and states("r/lib/own/a.py", files) == {"vendored": "unset"} and states("r/lib/own/b.py", files) == {"vendored": "unspecified"} and states("r/b.py", files) == {}
+
+
+@pytest.mark.parametrize(
+    "pattern, hits, misses",
+    [
+        ("*.js", ["a.js", "x/y/a.js", ".js"], ["a.jsx", "a.js/b"]), ("/a.js", ["a.js"], ["x/a.js"]), ("x/*.js", ["x/a.js"], ["x/y/a.js", "z/x/a.js"]), ("x/**", ["x/a", "x/y/a"], ["x", "y/x/a"]), ("**/x/*.js", ["x/a.js", "y/z/x/a.js"], ["x/y/a.js"]),
+        ("a/**/b.js", ["a/b.js", "a/x/y/b.js"], ["ab.js", "xa/b.js"]), ("lib/", [], ["lib", "lib/a.js", "x/lib/a.js"]), ("[ab].js", ["a.js", "x/b.js"], ["c.js", "[ab].js"]), ("[!a]x.js", ["bx.js"], ["ax.js", "y/x.js"]), ("[a-c0-9]?.go", ["b1.go", "7x.go"], ["d1.go", "b.go"]),
+        ("[[:digit:]].py", ["7.py"], ["d.py"]), ("a\\*.js", ["a*.js"], ["ab.js"]), ('"a b.js"', ["a b.js", "x/a b.js"], ["a", "b.js"]), ('"q\\"\\303\\251.js"', ['q"é.js'], ["q.js"]), ("[ab", [], ["a", "[ab"]), ("!*.js", [], ["a.js", "!a.js"]), ("a.js", ["a.js", "b/a.js"], ["aXjs"]),
+    ],
+)
+def test_attribute_patterns(pattern, hits, misses):
+    got = lambda p: states("r/" + p, {"r": f"{pattern} linguist-generated\r\n"})
+    assert all(got(p) == {"generated": "set"} for p in hits) and all(got(p) == {} for p in misses)
+
+
+def test_attribute_macros_and_values():
+    text = "[attr]made linguist-generated -diff\n*.a made\n*.b linguist-generated=true linguist-vendored=0\n*.c -linguist-generated linguist-generated\n*.d linguist-generatedx xlinguist-vendored\n"
+    assert states("r/x.a", {"r": text}) == {"generated": "set"} and states("r/x.b", {"r": text}) == {"generated": "set", "vendored": "unset"} and states("r/x.c", {"r": text}) == {"generated": "set"} and states("r/x.d", {"r": text}) == {}
+    assert states("r/s/x.a", {"r": "", "r/s": text}) == {}  # macros are defined in a root file only
+
+
+def test_declared_in_tables(spark):
+    """Attribute files of several folders and repositories meet their paths; each attribute clears its own kind only; declared files are proof for patterns elsewhere."""
+    lib = "// Bundled copy of lib 1.2.3. Report bugs upstream.\n"
+    src = [
+        ("a/.gitattributes", "out/** linguist-generated\nout/keep/*.py -linguist-generated\n*.lib.py -linguist-generated\n"), ("a/out/keep/.gitattributes", "z.py linguist-generated\n"), ("a/out/m.py", hand(1, 41)), ("a/out/keep/n.py", "# @generated by tool\n" + hand(1, 42)), ("a/out/keep/z.py", hand(1, 43)), ("a/x.lib.py", lib.replace("//", "#") + hand(1, 44)),
+        ("b/.gitattributes", "*.stub.py linguist-generated\n*.lib.py -linguist-vendored\n"), ("b/y.lib.py", lib.replace("//", "#") + hand(1, 45)), ("b/z.min.lib.py", "# @generated by tool\n" + hand(1, 46)), *[(f"b/p{k}.stub.py", hand(k, 50 + k)) for k in range(3)],
+        ("c/.gitattributes", "*.stub.py linguist-generated\nown.stub.py -linguist-generated\n"), *[(f"c/q{k}.stub.py", hand(k, 60 + k)) for k in range(3)], ("c/own.stub.py", hand(1, 70)),
+        ("d/e/r.stub.py", hand(1, 71)), ("d/e/own.py", hand(1, 72)), (".gitattributes", "top.py linguist-vendored\n"), ("top.py", hand(1, 73)), *[(f"e{k}/generated/vendor/h.py", hand(k, 80 + k)) for k in range(3)],
+    ]
+    df = spark.createDataFrame(src, "path string, content string")
+    want = {"a/out/m.py": "declared", "a/out/keep/z.py": "declared", "a/x.lib.py": "vendored", "b/z.min.lib.py": "generated", "top.py": "declared", "d/e/r.stub.py": "mined"} | {f"b/p{k}.stub.py": "declared" for k in range(3)} | {f"c/q{k}.stub.py": "declared" for k in range(3)}
+    for bound in (provenance.ATTRIBUTE_FILES, 0):
+        provenance.ATTRIBUTE_FILES, was = bound, provenance.ATTRIBUTE_FILES
+        try:
+            assert {r.path: r.reason for r in provenance.judged(df).collect()} == want
+        finally:
+            provenance.ATTRIBUTE_FILES = was
 
 
 def test_judged(spark, rows):
