@@ -4,6 +4,10 @@ Links without one of their ends and nodes without id count for nothing, repeated
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +48,79 @@ def label_propagation(nodes: DataFrame, links: DataFrame, rounds: int = 5) -> Da
     return labels
 
 
-def cycle_nodes(links: DataFrame) -> DataFrame:
+#: Links up to which what is left of a graph is decided within one task.
+TASK_LINKS = 500_000
+
+
+def _on_cycles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of strong components of more than one node, of all links of one task: depth first along the links, then against them."""
+    parts = list(frames)
+    if not parts:
+        return
+    links = pd.concat(parts)
+    codes, names = pd.factorize(pd.concat([links["source"], links["target"]]))
+    n, m = len(names), len(links)
+
+    def lists(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        order = np.argsort(a, kind="stable")
+        return np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
+
+    starts, ends = lists(codes[:m], codes[m:])
+    seen, left = [False] * n, []
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root] = True
+        stack = [(root, starts[root])]
+        while stack:
+            v, k = stack.pop()
+            while k < starts[v + 1] and seen[ends[k]]:
+                k += 1
+            if k < starts[v + 1]:
+                w = ends[k]
+                seen[w] = True
+                stack += [(v, k + 1), (w, starts[w])]
+            else:
+                left.append(v)
+    starts, ends = lists(codes[m:], codes[:m])
+    done, found = [False] * n, []
+    for root in reversed(left):
+        if done[root]:
+            continue
+        done[root] = True
+        part, at = [root], 0
+        while at < len(part):
+            v = part[at]
+            at += 1
+            for k in range(starts[v], starts[v + 1]):
+                if not done[ends[k]]:
+                    done[ends[k]] = True
+                    part.append(ends[k])
+        if len(part) > 1:
+            found += part
+    yield pd.DataFrame({"id": names[found]})
+
+
+def cycle_nodes(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """id of nodes on a closed path: they are the strongly connected components of more than one node, and loops.
 
     Nodes without way in or out are trimmed first; then the largest id that reaches a node colours it, and those of a
-    colour that reach its origin are one component. What is left goes round again."""
+    colour that reach its origin are one component. What is left goes round again, until no more than ``task_links`` links are: these
+    one task decides."""
     every = cut(links.select("source", "target").dropna().distinct())
     found = every.filter("source = target").select(F.col("source").alias("id"))
     rest = every.filter("source <> target")
     while True:
         rest = cut(rest)
         size = rest.count()
-        while size:  # trim
+        while size > task_links:  # trim
             into, out = rest.select(F.col("target").alias("k")).distinct(), rest.select(F.col("source").alias("k")).distinct()
             rest = cut(rest.join(into, rest.source == into.k, "left_semi").join(out, rest.target == out.k, "left_semi"))
             size, before = rest.count(), size
             if size == before:
                 break
-        if rest.isEmpty():
-            return found.distinct()
+        if size <= task_links:
+            return found.unionByName(rest.coalesce(1).mapInPandas(_on_cycles, "id string")).distinct()
         ids = rest.select(F.col("source").alias("id")).unionByName(rest.select(F.col("target").alias("id"))).distinct()
         colours = cut(ids.select("id", F.col("id").alias("colour")))
         while True:  # largest id upstream

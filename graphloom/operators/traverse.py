@@ -16,6 +16,8 @@ from graphloom.cluster import cut
 
 #: Levels that stay one plan.
 UNROLLED = 3
+#: Levels a round of ``reachable`` takes.
+STRIDE = 4
 
 
 def directed(links: DataFrame, direction: str) -> DataFrame:
@@ -56,19 +58,25 @@ def bfs(links: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: i
 
 
 def reachable(links: DataFrame, seeds: DataFrame, direction: str = "out") -> DataFrame:
-    """id: everything any seed reaches, the seeds too; one visited set, not one for each seed."""
+    """id: everything any seed reaches, the seeds too; one visited set, not one for each seed.
+
+    A round takes STRIDE levels in one plan, whose steps share their exchanges, and cuts the lineage once; what several levels of a
+    round meet again is dropped at its end."""
     hop = cut(directed(links, direction))
     met = frontier = cut(seeds.select("id").dropna().distinct())
     level = 0
     while True:
         level += 1
-        new = cut(frontier.join(hop, frontier.id == hop.a).select(F.col("b").alias("id")).distinct().join(met, "id", "left_anti"))
-        if new.isEmpty():
+        steps, step = [], frontier
+        for _ in range(STRIDE):
+            step = step.join(hop, step.id == hop.a).select(F.col("b").alias("id")).distinct()
+            steps.append(step)
+        frontier = cut(reduce(lambda a, b: a.unionByName(b), steps).distinct().join(met, "id", "left_anti"))
+        if frontier.isEmpty():
             return met
-        met = met.unionByName(new)
+        met = met.unionByName(frontier)
         if level % 4 == 0:
             met = cut(met)
-        frontier = new
 
 
 def shortest_paths(links: DataFrame, pairs: DataFrame, max_depth: int = 5, direction: str = "out") -> DataFrame:

@@ -55,7 +55,13 @@ def test_cycle_nodes_property(spark, seed):
     links = random_links(seed, 9, 13)
     reach = {a: distances([(x, y) for x, y in links], a) for a, _ in links}
     want = {a for a, b in links if a in reach.get(b, {}) or a == b}
-    assert {r.id for r in algorithms.cycle_nodes(links_df(spark, links)).collect()} == want
+    for task_links in (algorithms.TASK_LINKS, 0):  # within one task, and by rounds of joins alone
+        assert {r.id for r in algorithms.cycle_nodes(links_df(spark, links), task_links).collect()} == want
+
+
+def test_reachable_over_many_rounds(spark):
+    chain = [(f"n{k:02}", f"n{k + 1:02}") for k in range(11)] + [("n05", "n02"), ("n11", "m"), ("z", "n00")]
+    assert sorted(r.id for r in traverse.reachable(links_df(spark, chain), ids_df(spark, ["n03"])).collect()) == ["m"] + [f"n{k:02}" for k in range(2, 12)]
 
 
 def test_reachable_closure_chains_paths(spark, rows):
@@ -323,3 +329,20 @@ def test_null_columns_in_every_analysis(spark):
     counts = [df.count() for df in made]
     assert counts[0] >= 1 and counts[-3] >= 4
     assert {r.id for r in search.search_qualified(g, "kind:method").collect()} == {"b"}
+
+
+def test_published_graph(spark, rows, tmp_path):
+    """The published graph gives what the tables give, reads kinds by partition, and is made anew where the tables change."""
+    data = (("id kind name qualified_name updated_at", [("A ", "Class", "A", "a", 1), ("a", "class", "B", "b", 2), ("m", "METHOD", None, None, None), ("x", None, "x", "x", 1), (None, "class", "z", "z", 1)]), ("id source target kind", [(1, "a", "m", "Contains"), (1, " A", "m", "contains"), (2, "a", "gone", "calls"), (3, "lost", "m", "calls"), (4, "m", None, "calls"), (5, None, "m", "calls"), (6, "m", "x", None)]))
+    d = stored(spark, tmp_path, *data)
+    g, raw = PropertyGraph.load(spark, d), PropertyGraph(spark.read.parquet(f"{d}/nodes.parquet"), spark.read.parquet(f"{d}/edges.parquet"))
+    assert g.node_types == raw.node_types and g.edge_types == raw.edge_types
+    for f in (lambda x: x.nodes("kind", "name"), lambda x: x.nodes(), lambda x: x.edges("id"), lambda x: x.edges(kinds=["Calls"]), lambda x: x.links(), lambda x: x.links("contains")):
+        assert rows(f(g)) == rows(f(raw))
+    plan = g.edges(kinds=["contains"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan or "PartitionFilters: [kind" in plan
+    assert "Exchange" not in plan and "Exchange" not in g.nodes("name", "kind")._jdf.queryExecution().executedPlan().toString()
+    again = tmp_path / "again"
+    again.mkdir()
+    d2 = stored(spark, again, data[0], ("id source target kind", [(1, "a", "m", "contains")]))
+    assert PropertyGraph.load(spark, d2).edges().count() == 1 and PropertyGraph.load(spark, d).edges("id").count() == 6 - 1
