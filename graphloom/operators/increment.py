@@ -37,6 +37,11 @@ def depth_for(records: int, leaf_records: int = LEAF_RECORDS) -> int:
     return min(8, max(STEP, STEP * math.ceil(math.log(max(records / leaf_records, 2), 16) / STEP)))
 
 
+def range_digits(depth: int) -> int:
+    """Hex digits of a top range, in which state is kept: 16 ranges for up to a million records, 256 beyond."""
+    return 1 if depth <= 2 * STEP else STEP
+
+
 def key_range(key: Column, digits: int) -> Column:
     return F.substring(F.lpad(F.hex(F.xxhash64(key)), 16, "0"), 1, digits)
 
@@ -202,40 +207,46 @@ class Published:
         return [x.getPath().getName().removeprefix("range=") for x in self._fs.listStatus(at) if x.getPath().getName().startswith("range=")]
 
     @staticmethod
-    def _placed(records: DataFrame) -> DataFrame:
-        """Records with their top range, one task a range; a range is a 256th of the records whatever their keys are."""
-        placed = records.withColumn("range", key_range(F.col("key"), STEP))
-        return placed.repartition("range").sortWithinPartitions("range", "key")
+    def _placed(records: DataFrame, digits: int) -> DataFrame:
+        """Records with their top range; ranges are even whatever the keys are."""
+        return records.withColumn("range", key_range(F.col("key"), digits)).repartition("range")
 
     def start(self, records: DataFrame, depth: int | None = None) -> int:
         """Publish a first state with its tree and no output."""
         records = cut(_full(records))
         depth = depth or depth_for(records.count())
         self._write(1, "tree", merkle_leaves(records, depth))
-        self._write(1, "state", self._placed(records))
-        self._switch({"version": 1, "depth": depth, "value": dict(records.dtypes)["value"], "ranges": {r: 1 for r in self._ranges(1)}, "output": False})
+        digits = range_digits(depth)
+        self._write(1, "state", self._placed(records, digits))
+        self._switch({"version": 1, "depth": depth, "digits": digits, "value": dict(records.dtypes)["value"], "ranges": {r: 1 for r in self._ranges(1)}, "output": False})
         return 1
 
     def run(self, records: DataFrame, process: Callable[[DataFrame], DataFrame], depth: int | None = None) -> int:
         """One incremental run over ``records`` (key, value, perhaps weak): ``process`` gets the changed ones (key, value, change), its result is the output."""
         records = cut(_full(records))  # the source is read once, all that is written follows from this copy
-        was = self._current() or {"version": 0, "ranges": {}, "depth": None, "value": dict(records.dtypes)["value"]}
         depth = depth or depth_for(records.count())
+        digits = range_digits(depth)
+        was = self._current() or {"version": 0, "ranges": {}, "depth": None, "digits": digits, "value": dict(records.dtypes)["value"]}
         v = was["version"] + 1
+        place = lambda n: key_range(F.col("key"), n)
         saved_tree = self.spark.read.parquet(f"{self.folder}/v={was['version']}/tree") if was["depth"] == depth else merkle_leaves(self.state(was), depth)
-        leaves = cut(open_leaves(records, cut(merkle_leaves(records, depth)), cut(saved_tree), depth))
-        touched = {r[0] for r in leaves.select(F.substring("leaf", 1, STEP)).distinct().collect()}  # 256 at most
-        inside = lambda df: df.withColumn("leaf", key_range(F.col("key"), depth)).join(leaves, "leaf", "left_semi").drop("leaf")
-        seen = cut(compared(inside(records), inside(self.state(was, touched))))
-        self._write(v, "output", process(seen.filter("change is not null").select("key", "value", "change")))
+        leaves = cut(open_leaves(records, cut(merkle_leaves(records, depth)), saved_tree, depth))
+        touched = sorted(r[0] for r in leaves.select(F.substring("leaf", 1, digits)).distinct().collect())  # 256 at most
+        # another number of ranges than before: all are written anew
+        old = [r for r in was["ranges"] if was["digits"] != digits or r in touched]
+        within = place(digits).isin(touched) if was["digits"] == digits else F.lit(True)
+        opened = lambda df: df.withColumn("leaf", place(depth)).join(leaves.withColumn("open", F.lit(True)), "leaf", "left")
+        saved = opened(self.state(was, set(old))).filter("open").drop("leaf", "open")
+        near = opened(records.filter(within))
+        seen = compared(near.filter("open").drop("leaf", "open"), saved)
+        rest = near.filter("open is null").select("key", "value", "weak", F.lit(None).cast("string").alias("change"))
         # ranges that were opened are written anew: what was compared, and the rest of their records as they are
-        rest = records.filter(key_range(F.col("key"), STEP).isin(sorted(touched)) if touched else F.lit(False)).withColumn("leaf", key_range(F.col("key"), depth)).join(leaves, "leaf", "left_anti").drop("leaf")
-        state = cut(seen.select("key", "value", "weak").unionByName(rest)) if touched else records.limit(0)
-        self._write(v, "state", self._placed(state))
-        fresh = set(self._ranges(v))
-        ranges = {r: k for r, k in was["ranges"].items() if r not in touched} | {r: v for r in fresh}
-        # digests of leaves with values taken over differ from those of the bare records
-        known = records.filter(~key_range(F.col("key"), STEP).isin(sorted(touched))) if touched else records
-        self._write(v, "tree", merkle_leaves(known.unionByName(state), depth))
-        self._switch({"version": v, "depth": depth, "value": was["value"], "ranges": ranges})
+        seen = cut(seen.unionByName(rest))
+        self._write(v, "output", process(seen.filter("change is not null").select("key", "value", "change")))
+        self._write(v, "state", self._placed(seen.drop("change"), digits))
+        # digests are those of the state: values that were taken over count
+        known = seen.drop("change").unionByName(records.filter(~within))
+        self._write(v, "tree", merkle_leaves(known, depth))
+        ranges = {r: k for r, k in was["ranges"].items() if r not in old} | {r: v for r in self._ranges(v)}
+        self._switch({"version": v, "depth": depth, "digits": digits, "value": was["value"], "ranges": ranges})
         return v

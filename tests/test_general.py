@@ -180,10 +180,14 @@ def test_only_touched_ranges_are_written(spark, tmp_path, rows):
     many = [(f"k{i}", "v", None) for i in range(3_000)]
     make = lambda x: spark.createDataFrame(x, "key string, value string, weak string")
     p.run(make(many), lambda c: c.select("key"), 4)
-    assert len(p._ranges(1)) > 250
+    assert len(p._ranges(1)) == 16
     p.run(make([("k7", "w", None), *[x for x in many if x[0] not in ("k7", "k8")], ("new", None, "1@2")]), lambda c: c.select("key", "change"), 4)
-    assert rows(p.read("output")) == [("k7", "changed"), ("new", "added")] and 1 <= len(p._ranges(2)) <= 3
+    assert rows(p.read("output")) == [("k7", "changed"), ("new", "added")] and 1 <= len(p._ranges(2)) <= 3 < len(p.read("state").inputFiles())
     p.run(make([("k7", None, "5@5"), *[x for x in many if x[0] not in ("k7", "k8")], ("new", None, "1@2")]), lambda c: c.select("key", "change"), 4)
     assert rows(p.read("output")) == [("k7", "changed")] and p.read("state").count() == 3_000
+    p.run(make([("k7", None, "5@5"), *[x for x in many if x[0] not in ("k7", "k8")], ("new", None, "1@2")]), lambda c: c.select("key", "change"), 6)  # more records: finer ranges
+    assert rows(p.read("output")) == [] and len(p._ranges(4)) > 250 and p.read("state").count() == 3_000
+    p.run(make([x for x in many if x[0] != "k9"]), lambda c: c.select("key", "change"), 6)
+    assert rows(p.read("output")) == [("k7", "changed"), ("k8", "added")] and len(p._ranges(5)) < 6 and p.read("state").count() == 2_999
 
 
