@@ -6,12 +6,17 @@ the grades of its known words; the quantile levels are combined by weights and c
 graded texts, each text judged with the grades of the others. A document's band is the one most of its prose words
 stand in, passage by passage; code, tables, links and headings are no prose.
 
+Whether a passage is English is told by its letters, not by lists of words: the graded texts give the chances of each letter
+after the two before it, and a passage whose words are far less likely than those of held-out graded passages (by FAR standard
+deviations) is in another language, whichever it is.
+
 Defined results: null, blank, mainly non-English texts and those with fewer than 40 words of prose give no row; an empty
 graded table gives no rows; ties between bands go to the lower one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,6 +34,9 @@ MIN_WORDS = 40
 QUANTILES = (0.25, 0.5, 0.75, 0.9)
 #: Known words below which a passage is too short to be placed by itself and joins the next.
 PASSAGE = 25
+#: Standard deviations of held-out passages below their mean at which a passage is no longer taken for English, and at which it surely
+#: is another language; the least a deviation is taken for.
+FAR, SPREAD = (5.0, 9.0), 0.2
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"`[^`\n]*`|!?\[[^\[\]\n]*\]\([^()\n]*\)|<?\bhttps?://\S+|\bwww\.\S+|</?[A-Za-z][^<>\n]*>")
@@ -38,16 +46,6 @@ _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def|function|func|class|import|packag
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 
-# Common words that tell English from languages written in the same letters.
-ENGLISH = frozenset("the of and to in is that it for on with as this are be not have has was by from at or which but an when its we you they there if can will one all their our your then so do does should would could about into than more only after before while whether each most other because".split())
-OTHER = frozenset(
-    """der die das und ist nicht ein eine den dem des mit von zu auf für im sich wir auch wird werden sind als nach aus bei oder noch einen einem einer wenn dass kann haben hat am vor über ohne nur
-    el la los las de que y en un una es por con para se del al no lo como más pero sus este esta desde cuando si ya hay fue son está ser sin sobre también
-    le les des et est une dans pour qui sur pas au avec ce il sont plus ou par nous vous il di che per non con una della
-    o os as um uma não em do da na dos""".split()
-) - ENGLISH - {"a", "i", "he", "me", "on", "as", "do", "no", "an", "am", "so", "or", "one", "all"}
-
-
 def prose(text: str) -> list[str]:
     """Passages of prose: fenced and indented code, tables, headings, links and code-like lines are left out."""
     if "\r" in text:
@@ -73,12 +71,40 @@ def prose(text: str) -> list[str]:
     return out
 
 
-def is_english(words: list[str], known: int = 0) -> bool:
-    """More English than other common words, and enough of them; ``known`` words of the graded texts count too."""
-    e = sum(map(ENGLISH.__contains__, words))
-    o = sum(map(OTHER.__contains__, words))
-    n = len(words)
-    return (e > o and e >= 0.08 * n) or (known > 0.4 * n and known > 3 * o)
+class Letters(dict):
+    """Mean log chance of the letters of a word, each after the two before it; words are kept as they are met."""
+
+    def __init__(self, texts: list[list[str]]) -> None:
+        super().__init__()
+        self.three: Counter[str] = Counter()
+        self.two: Counter[str] = Counter()
+        for w, n in Counter(x for t in texts for x in t).items():
+            s = f"^{w}$"
+            for i in range(len(s) - 2):
+                self.three[s[i : i + 3]] += n
+                self.two[s[i : i + 2]] += n
+        self.three, self.two = dict(self.three), dict(self.two)
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        s = f"^{w}$"
+        three, two = self.three.get, self.two.get
+        # a tenth of a sight for each of some sixty letters
+        p = self[w] = sum(math.log((three(s[i : i + 3], 0) + 0.1) / (two(s[i : i + 2], 0) + 6)) for i in range(len(s) - 2)) / (len(s) - 2)
+        return p
+
+    def __reduce__(self) -> tuple:
+        return _letters, (self.three, self.two)
+
+    def mean(self, words: list[str]) -> float:
+        return sum([self[w] for w in words]) / len(words) if words else -math.inf
+
+
+def _letters(three: dict[str, int], two: dict[str, int]) -> Letters:
+    out = Letters([])
+    out.three, out.two = three, two
+    return out
 
 
 @dataclass(frozen=True)
@@ -87,6 +113,14 @@ class Model:
     weights: tuple[float, ...]
     cuts: tuple[float, ...]
     bands: tuple[int, ...]
+    letters: Letters
+    least: float  # mean log chance below which a passage is not taken for English
+    surely: float  # and below which it surely is another language
+
+    def foreign(self, words: list[str]) -> float:
+        """How far a passage counts as another language: 0, 1, or a half where its letters leave it open, as invented names do."""
+        mean = self.letters.mean(words)
+        return 0.0 if mean >= self.least else 0.5 if mean >= self.surely else 1.0
 
     def level(self, grades: list[float]) -> float:
         grades = sorted(grades)
@@ -123,20 +157,24 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     if not texts:
         return None
     grades = acquisition(texts)
-    x, y = [], []
+    letters = Letters([w for w, _ in texts])
+    x, y, chances = [], [], []
     folds = min(5, len(texts))
     for f in range(folds):
-        held = acquisition([t for k, t in enumerate(texts) if k % folds != f]) if folds > 1 else grades
+        rest = [t for k, t in enumerate(texts) if k % folds != f] if folds > 1 else texts
+        held, seen = acquisition(rest), Letters([w for w, _ in rest])
         for k in range(f, len(texts), folds):
             w, b = texts[k]
             # the texts are longer than passages: they are judged as passages of their usual length are
             for at in range(0, max(1, len(w) - PASSAGE), 2 * PASSAGE):
+                chances.append(seen.mean(w[at : at + 2 * PASSAGE]))
                 g = sorted(held[v] for v in w[at : at + 2 * PASSAGE] if v in held)
                 if len(g) >= 8:
                     x.append([g[int(q * (len(g) - 1))] for q in QUANTILES])
                     y.append(b)
+    least, surely = (float(np.mean(chances) - far * max(np.std(chances), SPREAD)) for far in FAR)
     if not x or len(bands) == 1:
-        return Model(grades, tuple([1 / len(QUANTILES)] * len(QUANTILES)), tuple(), (bands[0],) if len(bands) == 1 else tuple(bands))
+        return Model(grades, tuple([1 / len(QUANTILES)] * len(QUANTILES)), tuple(), (bands[0],) if len(bands) == 1 else tuple(bands), letters, least, surely)
     a, t = np.array(x), np.array(y, dtype=float)
     centred = a - a.mean(0)
     weights = np.linalg.solve(centred.T @ centred + 0.1 * len(t) / 10 * np.eye(a.shape[1]), centred.T @ (t - t.mean()))
@@ -144,7 +182,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     means = [score[t == b].mean() for b in bands]
     spread = [score[t == b].std() + 1e-6 for b in bands]
     cuts = [(m1 * s2 + m2 * s1) / (s1 + s2) for m1, m2, s1, s2 in zip(means, means[1:], spread, spread[1:])]
-    return Model(grades, tuple(map(float, weights)), tuple(map(float, cuts)), tuple(bands))
+    return Model(grades, tuple(map(float, weights)), tuple(map(float, cuts)), tuple(bands), letters, least, surely)
 
 
 def judge(text: str | None, model: Model) -> int | None:
@@ -165,9 +203,10 @@ def judge(text: str | None, model: Model) -> int | None:
                 other += cjk // 2
                 continue
         grades = [g for g in map(grade, words) if g is not None]
-        if not is_english(words, len(grades)):
+        foreign = model.foreign(words)
+        if foreign:
             if n >= 6:
-                other += n
+                other += foreign * n
             continue
         english += n
         held += grades

@@ -203,6 +203,34 @@ def test_levels(spark, rows):
     assert rows(reading.levels(df, graded(spark).limit(0))) == [] and rows(reading.levels(df.limit(0), graded(spark))) == []
 
 
+# The same passage in languages no list of the operator names.
+ELSEWHERE = {
+    "nl": "De gebruiker kan in het menu een nieuwe taak maken en deze later weer openen. Het programma is snel en werkt ook als er geen verbinding met de server is. We hebben in de laatste versie een paar fouten hersteld en is de tekst in de handleiding beter geworden, want er was veel vraag naar een uitleg in een of ander boek.",
+    "fr": "Le programme lit les fichiers du projet et construit un graphe des appels entre les fonctions. Il est possible de chercher un nom dans toutes les sources sans attendre la fin de la lecture, et la page se charge aussi quand le serveur ne répond pas encore à la demande.",
+    "it": "Il programma legge i file del progetto e costruisce un grafo delle chiamate fra le funzioni. Non serve aspettare la fine della lettura per cercare un nome, e la pagina si apre anche quando il server non risponde ancora alla domanda che gli è stata fatta poco prima.",
+    "pt": "O programa lê os ficheiros do projeto e constrói um grafo das chamadas entre as funções. Não é preciso esperar pelo fim da leitura para procurar um nome, e a página abre também quando o servidor ainda não responde ao pedido que lhe foi feito pouco antes disso.",
+    "sv": "Programmet läser filerna i projektet och bygger en graf över anropen mellan funktionerna. Det går att söka efter ett namn utan att vänta på att allt har lästs, och sidan öppnas även när servern ännu inte har svarat på frågan som ställdes strax innan av någon annan.",
+    "da": "Programmet læser filerne i projektet og bygger en graf over kald mellem funktionerne. Man kan søge efter et navn uden at vente på at alt er læst, og siden åbner også når serveren endnu ikke har svaret på det spørgsmål som blev stillet lige før af en anden person.",
+    "pl": "Program czyta pliki projektu i buduje graf wywołań między funkcjami. Nie trzeba czekać na koniec czytania, aby wyszukać nazwę, a strona otwiera się także wtedy, gdy serwer jeszcze nie odpowiedział na pytanie, które ktoś inny zadał mu chwilę wcześniej tego dnia.",
+    "id": "Program ini membaca berkas proyek dan membangun graf panggilan antara fungsi. Anda tidak perlu menunggu sampai semua selesai dibaca untuk mencari sebuah nama, dan halaman tetap terbuka ketika peladen belum menjawab pertanyaan yang diajukan orang lain sebelumnya pada hari itu.",
+    "fi": "Ohjelma lukee projektin tiedostot ja rakentaa verkon funktioiden välisistä kutsuista. Nimeä voi etsiä odottamatta, että kaikki on luettu, ja sivu avautuu myös silloin, kun palvelin ei ole vielä vastannut kysymykseen, jonka joku toinen esitti hetkeä aikaisemmin samana päivänä.",
+}
+PLAIN = "The program reads the files of a project and builds a graph of the calls between its functions. You can look for a name in all sources without waiting for the end of the reading, and the page opens even when the server has not yet answered a question that someone else asked a little earlier that day."
+
+
+def test_english_is_told_from_languages_not_named():
+    pd = pytest.importorskip("pandas")
+    import os
+
+    path = "/root/testdata/sf0.001/graded_texts.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    g = pd.read_parquet(path)
+    m = reading.fit(list(zip(g["text"], g["band"])))
+    assert {k for k, t in ELSEWHERE.items() if reading.judge(t, m) is not None} == set()
+    assert reading.judge(PLAIN, m) is not None and reading.judge(ELSEWHERE["nl"] + "\n\n" + PLAIN + " " + PLAIN, m) is not None and reading.judge(PLAIN + "\n\n" + ELSEWHERE["sv"] + " " + ELSEWHERE["sv"], m) is None
+
+
 def test_held_out_accuracy():
     """Graded texts of the test data, each judged by a model that has not seen it."""
     pd = pytest.importorskip("pandas")
