@@ -1,8 +1,9 @@
 """Functions and methods paired with their documentation.
 
 Method: comment spans and function spans are extracted from a source text independently of each other. An as-of join on
-the lines attaches to each function the nearest comment that ends before it, and rejects it where a statement or an empty
-line stands between; a string that opens a body is a comment span inside the function. Documentation is then weighed: what
+the lines attaches to each function the nearest comment that ends before it, and rejects it where anything but the function's own
+annotations, however many lines they take, stands between; a string that opens a body is a comment span inside the function. This
+runs over whole files (:func:`source_pairs`), and over the bodies of symbols whose indexer kept no documentation. Documentation is then weighed: what
 addresses tools or people, stands in for text, repeats the name or the parameters or is code is set aside, and a pair
 is kept only where words remain that tell something new.
 
@@ -108,17 +109,30 @@ def attach(functions: list[Span], comments: list[Span], lines: list[str], python
             if inner and _PY_STRING.match(lines[j]):
                 out.append((f, inner.text))
                 continue
-        top = f.start
-        while top > 0 and lines[top - 1].strip().startswith("@"):  # decorators and annotations belong to the definition
-            top -= 1
-        k = bisect_right(ends, top - 1) - 1
-        if k >= 0 and comments[k].end == top - 1 and not (python and _PY_STRING.match(lines[comments[k].start])):
+        k = bisect_right(ends, f.start - 1) - 1
+        while k >= 0 and python and _PY_STRING.match(lines[comments[k].start]):  # a string before a definition documents something else
+            if comments[k].end >= f.start - 1 or not _annotations(lines[comments[k].end + 1 : f.start]):
+                k = -1
+            else:
+                k -= 1
+        if k >= 0 and _annotations(lines[comments[k].end + 1 : f.start]):
             out.append((f, comments[k].text))
         else:
             out.append((f, ""))
     return out
 
 
+def _annotations(between: list[str]) -> bool:
+    """Whether lines are decorators or annotations of what follows, brackets closed, and nothing else."""
+    depth = 0
+    for line in between:
+        bare = line.strip()
+        if depth <= 0 and not bare.startswith("@"):
+            return False
+        depth += sum(map(bare.count, "([{")) - sum(map(bare.count, ")]}"))
+    return depth <= 0
+
+
 def documentation(docstring: str | None, body: str | None, language: str | None) -> str:
     """The documentation of one symbol: its docstring, or where there is none what the spans of its body give."""
     if docstring is not None:
@@ -145,8 +159,9 @@ _TOOL = re.compile(
     re.I,
 )
 _PERSON = re.compile(
-    r"\b(?:todo|fixme|xxx|hack)\b|\bauthors?\b\s*:?|\bcopyright\b|\(c\)\s*\d{4}|all rights reserved|\bredistribution\b|\blicen[sc]ed?\b|\bspdx\b|\bcreated (?:by|on)\b|\bwritten by\b|\bmaintainer\b|\bowned by\b"
-    r"|\breview(?:er|ed by)\b|\bdate\s*:|\bsince\s*:|\bversion\s*:|@\w+",
+    r"^\W*(?:todo|fixme|xxx|hack)\b|\b(?:TODO|FIXME|XXX)\b|\bauthors?\s*:|^\W*authors?\b|\bcopyright\b|\(c\)\s*\d{4}|all rights reserved|\bredistribution and use\b|\bredistribution in source\b|\blicen[sc]ed under\b|\bspdx\b"
+    r"|^\W*(?:created|written|owned|maintained|reviewed|approved) by\W+(?:the\W+)?[\w.@-]+(?:\W+(?:team|group|squad|guild|on\b.*|in \d{4}.*))?\W*$|^\W*(?:reviewers?|maintainers?|owners?|contact)\s*:|^\W*created on\b"
+    r"|\bdate\s*:|\bsince\s*:|\bversion\s*:|@\w+",
     re.I,
 )
 _POINTER = re.compile(r"^\W*(?:see|refer to|cf\.?|same as|as (?:in|above)|inherit\w*|inherited from|overrides?|overridden|copied from|siehe|ver|voir|véase)\b[^.]{0,60}\.?\W*$", re.I)
@@ -265,6 +280,28 @@ def informative(doc: str | None, name: str | None, signature: str | None) -> str
     return " ".join(told)
 
 
+def source_pairs(sources: DataFrame) -> DataFrame:
+    """path, line (from 1), name, signature, description of each function or method in source files whose documentation tells something."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, text in zip(f["path"], f["content"]):
+                lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                python = path.lower().endswith((".py", ".pyi"))
+                inside = {k for c in comment_spans(lines, python) for k in range(c.start, c.end + 1)}
+                functions = [s for s in function_spans(lines) if s.start not in inside]
+                for s, doc in attach(functions, comment_spans(lines, python), lines, python):
+                    signature = " ".join(" ".join(lines[s.start : s.end + 1]).rstrip("{: ").split())
+                    told = informative(doc, s.name, signature)
+                    if told:
+                        out.append((path, s.start + 1, s.name, signature, told))
+            yield pd.DataFrame(out, columns=["path", "line", "name", "signature", "description"])
+
+    rows = sources.filter("path is not null and content is not null").filter(~F.lower("path").endswith(".json")).select("path", "content")
+    return rows.mapInPandas(run, "path string, line int, name string, signature string, description string").distinct()
+
+
 # --- operator ------------------------------------------------------------------------------------------------------
 
 

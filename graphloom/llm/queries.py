@@ -19,6 +19,10 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(table(spark, d, "nodes"))
 
 
+def p1_source_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.source_pairs(table(spark, d, "sources"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return validity.unparsable(table(spark, d, "sources"), table(spark, d, "files")).select("path")
 
@@ -67,7 +71,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_rates, p5_causes, p7_found, p7_reasons, p8_ids, p8_round_trip, p9_found, p9_items, p10_found, p10_profile)
+    f.__name__: f for f in (p1_found, p1_pairs, p1_source_pairs, p5_found, p5_rates, p5_causes, p7_found, p7_reasons, p8_ids, p8_round_trip, p9_found, p9_items, p10_found, p10_profile)
 }
 
 SQL: dict[str, str] = {}
