@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.cluster import cut, spread
+from graphloom.functions import code
 
 # Fixed values of the signatures: permutations, seed, and the Mersenne prime they work under.
 PERMUTATIONS, SEED, PRIME = 128, 42, (1 << 61) - 1
@@ -65,12 +66,22 @@ def bands(sigs: DataFrame) -> DataFrame:
     return sigs.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sig", b * ROWS + 1, F.lit(ROWS))))).alias("band", "bucket"))
 
 
-def band_groups(sigs: DataFrame) -> DataFrame:
-    """id, group, shared: the smallest id a symbol meets in any bucket, and the bands it shares with others; no pairs are made."""
-    b = bands(sigs)
-    per = b.groupBy("band", "bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    met = b.join(per, ["band", "bucket"]).groupBy("id").agg(F.min("low").alias("group"), F.count("*").alias("shared"))
-    return sigs.select("id").join(met, "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("shared", F.lit(0)).alias("shared"))
+def band_links(sigs: DataFrame) -> DataFrame:
+    """a, b, shared: for every bucket of every band its smallest id (a) with each other one, and the bands the two share.
+
+    A bucket is a star around its smallest id, so a hot one costs a row a member and no pairs; copies should have been joined before.
+    No bucket is left out: whoever meets anybody is linked, by way of the smallest id at the most."""
+    per = bands(sigs)
+    low = per.groupBy("band", "bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    met = per.join(low, ["band", "bucket"]).filter("id <> a")
+    return met.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def estimated_links(sigs: DataFrame) -> DataFrame:
+    """a, b, similarity: the share of equal values in the signatures of linked ids."""
+    one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x"))
+    two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    return band_links(sigs).join(one, "a").join(two, "b").select("a", "b", F.round(code.matching_share(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 def shingles(tokens: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom import cypher
 from graphloom.graph import PropertyGraph
-from graphloom.plans import analytics_queries, cypher_queries, general, graph_queries, search_queries
+from graphloom.plans import analytics_queries, cypher_queries, general, graph_queries, search_queries, state_queries
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -17,5 +17,5 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return cypher.query(PropertyGraph.load(spark, d), text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES, **cypher_queries.QUERIES, **graph_queries.QUERIES, **analytics_queries.QUERIES, **search_queries.QUERIES}
-SQL: dict[str, str] = {**general.SQL, **cypher_queries.SQL, **graph_queries.SQL, **analytics_queries.SQL, **search_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general.QUERIES, **cypher_queries.QUERIES, **graph_queries.QUERIES, **analytics_queries.QUERIES, **search_queries.QUERIES, **state_queries.QUERIES}
+SQL: dict[str, str] = {**general.SQL, **cypher_queries.SQL, **graph_queries.SQL, **analytics_queries.SQL, **search_queries.SQL, **state_queries.SQL}

@@ -117,18 +117,24 @@ add("clones_minhash", lambda g: similarity.clones(_bodies(g)), _clones_sql(
     "SELECT id, CASE WHEN len(tokens) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(tokens) - 4, 1) + 1), lambda i: array_to_string(tokens[i:i + 4], ' '))) END AS items FROM tok", _TOKENS_SQL))
 add("clones_exact_jaccard", lambda g: similarity.clones(_names(g)), _clones_sql(
     "SELECT id, list_distinct(list_concat(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, signature)), '[^a-z0-9]+'), lambda w: length(w) > 1), CASE WHEN length(coalesce(name, '')) < 2 THEN [] ELSE list_transform(range(1, length(name)), lambda i: '__bigram_' || substr(lower(name), i, 2)) END)) AS items FROM n WHERE kind IN ('function', 'method')"))
-add("minhash_sig", lambda g: similarity.signatures(_bodies(g)).select("id", F.concat_ws(",", F.transform("sig", lambda x: x.cast("string"))).alias("sig")))
-add("lsh_pairs", lambda g: similarity.band_groups(cut(similarity.signatures(_bodies(g)))))
-
-
-def _estimate(g: PropertyGraph) -> DataFrame:
-    """Each body against the smallest body it shares a bucket with."""
-    s = cut(similarity.signatures(_bodies(g)))
-    other = s.select(F.col("id").alias("group"), F.col("sig").alias("sig2"))
-    return similarity.band_groups(s).join(s, "id").join(other, "group").select("id", "group", F.round(code.matching_share(F.col("sig"), F.col("sig2")), 6).alias("similarity"))
-
-
-add("jaccard_estimate", _estimate)
+# signatures over the same draws, products in 128 bits
+_HEX = "('0x' || substr(sha256({}), 1, 16))::UBIGINT::HUGEINT"
+_PRIME = similarity.PRIME
+_SIGNED = (
+    _TOKENS_SQL,
+    "sets AS MATERIALIZED (SELECT id, CASE WHEN len(tokens) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(tokens) - 4, 1) + 1), lambda i: array_to_string(tokens[i:i + 4], ' '))) END AS items FROM tok)",
+    f"co AS MATERIALIZED (SELECT i, greatest({_HEX.format(f"'{similarity.SEED}:' || i || ':a'")} % {_PRIME}, 1) AS a, {_HEX.format(f"'{similarity.SEED}:' || i || ':b'")} % {_PRIME} AS b FROM range({similarity.PERMUTATIONS}) r(i))",
+    f"hs AS MATERIALIZED (SELECT x, {_HEX.format('x')} AS h FROM (SELECT DISTINCT unnest(items) AS x FROM sets))",
+    f"vals AS MATERIALIZED (SELECT x, list((a * h + b) % {_PRIME} ORDER BY i) AS v FROM hs, co GROUP BY x)",
+    "its AS (SELECT id, unnest(items) AS x FROM sets)",
+    f"sigs AS MATERIALIZED (SELECT id, list(m ORDER BY i) AS sig FROM (SELECT id, i, min(v[i + 1]) AS m FROM its JOIN vals USING (x), range({similarity.PERMUTATIONS}) r(i) GROUP BY ALL) GROUP BY id UNION ALL SELECT id, list_transform(range({similarity.PERMUTATIONS}), lambda i: {_PRIME}::HUGEINT) FROM sets WHERE len(items) = 0)",
+    f"per AS MATERIALIZED (SELECT id, band, array_to_string(sig[band * {similarity.ROWS} + 1:(band + 1) * {similarity.ROWS}], ',') AS bucket FROM sigs, range({similarity.BANDS}) r(band))",
+    "star AS (SELECT low AS a, id AS b, count(*) AS shared FROM per JOIN (SELECT band, bucket, min(id) AS low FROM per GROUP BY 1, 2 HAVING count(*) > 1) USING (band, bucket) WHERE id <> low GROUP BY 1, 2)",
+)
+add("minhash_sig", lambda g: similarity.signatures(_bodies(g)).select("id", F.concat_ws(",", F.transform("sig", lambda x: x.cast("string"))).alias("sig")), graph_sql("SELECT id, array_to_string(sig, ',') AS sig FROM sigs", *_SIGNED))
+add("lsh_pairs", lambda g: similarity.band_links(cut(similarity.signatures(_bodies(g)))), graph_sql("SELECT a, b, shared FROM star", *_SIGNED))
+add("jaccard_estimate", lambda g: similarity.estimated_links(cut(similarity.signatures(_bodies(g)))), graph_sql(
+    f"SELECT a, b, round(len(list_filter(list_zip(p.sig, q.sig), lambda z: z[1] = z[2])) / {similarity.PERMUTATIONS}.0, 6) AS similarity FROM star JOIN sigs p ON p.id = a JOIN sigs q ON q.id = b", *_SIGNED))
 
 # --- tiers: classes stand for routes, methods for calls to them, in the spelling of several frameworks ---
 

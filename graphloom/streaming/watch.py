@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.increment import Published
+
 
 def poll_changes(before: DataFrame, now: DataFrame) -> DataFrame:
     """path, kind: created, removed, or modified (the times differ) between two listings (path, modified_at), each path once in each; null paths are dropped."""
@@ -28,6 +30,19 @@ def debounced_stream(events: DataFrame, gap: str = "300 milliseconds", late: str
     return w.agg(F.max_by("kind", time).alias("kind"), F.count("*").alias("events")).select("path", F.col("burst.start").alias("first"), F.col("burst.end").alias("last"), "kind", "events")
 
 
+def keep_newest(state: Published) -> Callable[[DataFrame, int], None]:
+    """A merge for ``sync_stream``: of each key (key, value) the largest value it ever had is published. A batch that comes twice changes nothing."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.select("key", "value").filter("key is not null")
+        known = state.read("state")
+        if known is not None:
+            rows = rows.unionByName(known.select("key", "value"))
+        state.run(rows.groupBy("key").agg(F.max("value").alias("value")), lambda changed: changed.select("key", "change"))
+
+    return merge
+
+
 def sync_stream(listing: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
     """Start a query that hands each batch of listing rows to ``merge(batch, batch id)``; the id tells a repeated batch, so a merge can be made idempotent."""
     writer = listing.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -1,3 +1,4 @@
+import itertools
 """Traversal and algorithms against plain Python on random graphs; storage, tiers, search and streams on small tables."""
 
 import collections
@@ -346,3 +347,32 @@ def test_published_graph(spark, rows, tmp_path):
     again.mkdir()
     d2 = stored(spark, again, data[0], ("id source target kind", [(1, "a", "m", "contains")]))
     assert PropertyGraph.load(spark, d2).edges().count() == 1 and PropertyGraph.load(spark, d).edges("id").count() == 6 - 1
+
+
+def test_bands_find_similar_sets(spark):
+    """At least nine in ten of the exactly similar pairs are connected by the stars of the buckets."""
+    r = random.Random(8)
+    sets = []
+    for k in range(30):
+        base = [f"s{k}.{x}" for x in range(40)]
+        sets += [(f"{k:02}{v}", sorted(set(base) - set(r.sample(base, v)) | {f"n{k}.{v}.{x}" for x in range(v)})) for v in range(4)]
+    df = spark.createDataFrame(sets, "id string, items array<string>")
+    exact = {(x.a, x.b) for x in similarity.similarity_links(df).collect()}
+    assert exact == {(a, b) for (a, x), (b, y) in itertools.combinations(sorted(sets), 2) if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))} and len(exact) > 100
+    links = similarity.band_links(similarity.signatures(df))
+    label = {x.id: x["class"] for x in similarity.components(df.select("id"), links.select("a", "b")).collect()}
+    assert sum(label[a] == label[b] for a, b in exact) >= 0.9 * len(exact)
+    near = {(x.a, x.b): x.similarity for x in similarity.estimated_links(similarity.signatures(df)).collect()}
+    of = dict(sets)
+    assert near and all(abs(v - len(set(of[a]) & set(of[b])) / len(set(of[a]) | set(of[b]))) < 0.2 for (a, b), v in near.items())
+
+
+def test_watch_loop_survives_a_repeated_batch(spark, rows, tmp_path):
+    from graphloom.operators.increment import Published
+
+    p = Published(spark, f"file://{tmp_path}/watched")
+    merge = watch.keep_newest(p)
+    one, two = (spark.createDataFrame(x, "key string, value string") for x in ([("a", "1"), ("b", "3"), (None, "9")], [("a", "2"), ("b", "1"), ("c", "1"), ("c", "1")]))
+    for batch, number in ((one, 0), (two, 1), (two, 1), (one, 0), (one.limit(0), 2)):
+        merge(batch, number)
+    assert rows(p.read("state").select("key", "value")) == [("a", "2"), ("b", "3"), ("c", "1")] and rows(p.read("output")) == []
