@@ -291,18 +291,19 @@ add("find_pattern", lambda g: analytics.find_structure(g, "for_loop"), graph_sql
 def _complexity(g: PropertyGraph) -> DataFrame:
     f = analytics.functions(g, "body", "language").filter("body is not null").withColumn("t", code.words_and_signs(F.col("body")))
     lang = F.coalesce(F.lower("language"), F.lit(""))
-    volume, difficulty = code.halstead(F.col("t"))
+    volume, difficulty = code.halstead(F.col("t"), lang)
     lines = F.size(F.split(F.regexp_replace("body", r"\n$", ""), "\n"))
     return f.select("id", code.cyclomatic(F.col("t"), lang).alias("cyclomatic"), lines.alias("lines"), F.round(volume, 6).alias("volume"), F.round(difficulty, 6).alias("difficulty"), F.round(volume * difficulty, 4).alias("effort"))
 
 
-_OPS, _NOT = _in(code.OPERATORS), _in(code.NO_OPERANDS)
+_OPS, _NOT = code.among_sql("x", code.OPERATORS, code.OPERATORS_OF), _in(code.NO_OPERANDS)
+_CYCLOMATIC = f"1 + len(list_filter(t, lambda x: {code.among_sql('x', (*code.DECISIONS, '&&', '||', '?'), code.DECISIONS_OF)})) + len(list_filter(t, lambda x: {code.among_sql('x', (), code.CASES_OF)}))"
 add("complexity", _complexity, graph_sql(
-    rf"""SELECT id, 1 + len(list_filter(t, lambda x: x IN ({_in((*code.DECISIONS, '&&', '||', '?'))}) OR x IN ('fallthrough', 'range') AND lang = 'go' OR x = 'case' AND lang <> 'python')) + len(list_filter(t, lambda x: x = 'elif' AND lang = 'python')) AS cyclomatic, lines,
+    rf"""SELECT id, {_CYCLOMATIC} AS cyclomatic, lines,
     round(v, 6) AS volume, round(d, 6) AS difficulty, round(v * d, 4) AS effort FROM (
       SELECT *, CASE WHEN n1 + n2 > 0 THEN (len(o) + len(w)) * log2(n1 + n2) ELSE 0 END AS v, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / 2 * (len(w) / n2) ELSE 0 END AS d FROM (
         SELECT *, len(list_distinct(o)) AS n1, len(list_distinct(w)) AS n2 FROM (
-          SELECT *, list_filter(t, lambda x: x IN ({_OPS})) AS o, list_filter(t, lambda x: x NOT IN ({_OPS}) AND x NOT IN ({_NOT}) AND regexp_full_match(x, '[A-Za-z_$][A-Za-z0-9_$]*')) AS w FROM (
+          SELECT *, list_filter(t, lambda x: {_OPS}) AS o, list_filter(t, lambda x: NOT {_OPS} AND x NOT IN ({_NOT}) AND regexp_full_match(x, '[A-Za-z_$][A-Za-z0-9_$]*')) AS w FROM (
             SELECT id, coalesce(lower(language), '') AS lang, regexp_extract_all(body, {_quoted(code.WORD_OR_SIGN)}, 1) AS t, len(string_split(regexp_replace(body, '\n$', ''), chr(10))) AS lines
             FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL))))"""))
 
@@ -315,12 +316,12 @@ def _cognitive(g: PropertyGraph) -> DataFrame:
 
 
 _CODES = f"""CASE WHEN x IN ('{{', 'begin', 'do') THEN 1 WHEN x IN ('}}', 'end', 'endfunction', 'endif') THEN 2 WHEN x = ':' AND lang = 'python' THEN 1
-  WHEN x IN ('for', 'while', 'loop') OR x = 'range' AND lang = 'go' THEN 5 WHEN x IN ({_in(code.DECISIONS)}) OR x = 'fallthrough' AND lang = 'go' THEN 4 WHEN x IN ('repeat', 'foreach') THEN 4
+  WHEN {code.among_sql('x', code.DECISIONS, code.DECISIONS_OF)} AND {code.among_sql('x', code.LOOPS, code.LOOPS_OF)} THEN 5 WHEN {code.among_sql('x', code.DECISIONS, code.DECISIONS_OF)} OR {code.among_sql('x', code.LOOPS, code.LOOPS_OF)} THEN 4
   WHEN x IN ('&&', '||') THEN 7 WHEN x IN ('break', 'continue') THEN 8 ELSE 0 END"""
 # the fold keeps score and depth in one number: 100000 * score + depth
 add("complexity_risk", _cognitive, graph_sql(
     rf"""SELECT id, cyclomatic, cognitive, (['low', 'medium', 'high', 'critical'])[greatest(CASE WHEN cyclomatic <= 5 THEN 1 WHEN cyclomatic <= 10 THEN 2 WHEN cyclomatic <= 20 THEN 3 ELSE 4 END, CASE WHEN cognitive <= 5 THEN 1 WHEN cognitive <= 15 THEN 2 WHEN cognitive <= 30 THEN 3 ELSE 4 END)] AS risk FROM (
-      SELECT id, 1 + len(list_filter(t, lambda x: x IN ({_in((*code.DECISIONS, '&&', '||', '?'))}) OR x IN ('fallthrough', 'range') AND lang = 'go' OR x = 'case' AND lang <> 'python')) + len(list_filter(t, lambda x: x = 'elif' AND lang = 'python')) AS cyclomatic,
+      SELECT id, {_CYCLOMATIC} AS cyclomatic,
         list_reduce(list_transform(t, lambda x: ({_CODES})::BIGINT), lambda a, c: CASE c WHEN 1 THEN a + 1 WHEN 2 THEN a - (a % 100000 > 0)::BIGINT WHEN 4 THEN a + 100000 * (1 + a % 100000) WHEN 5 THEN a + 200000 * (1 + a % 100000) WHEN 7 THEN a + 100000 WHEN 8 THEN a + 100000 * (a % 100000) ELSE a END, 0::BIGINT) // 100000 AS cognitive
       FROM (SELECT id, coalesce(lower(language), '') AS lang, regexp_extract_all(body, {_quoted(code.WORD_OR_SIGN)}, 1) AS t FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL))"""))
 _TOKENS_SQL = rf"""tok AS (SELECT id, list_transform(regexp_extract_all(regexp_replace(coalesce(body, ''), '(?m)#.*$', '', 'g'), {_quoted(code.TOKEN)}, 1), lambda t: CASE WHEN regexp_matches(t, '^["'']') THEN 'S' WHEN regexp_matches(t, '^\d') THEN 'N' WHEN t IN ({_in(code.KEPT_KEYWORDS)}) THEN t WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'I' ELSE t END) AS tokens

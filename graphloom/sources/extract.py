@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.cluster import small
 from graphloom.sources.files import language
 
 NODE_OUT = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, signature string, docstring string, decorators string, body string, body_hash string"
@@ -110,7 +112,8 @@ def _end(clean: str, at: int) -> int:
 
 def brace_symbols(path: str, text: str, lang: str) -> tuple[list[Def], list[Ref]]:
     clean = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    line_at = lambda k: text.count("\n", 0, k) + 1
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line_at = lambda k: bisect_left(ends, k) + 1
     spans: list[tuple[int, int, Def]] = []
     refs: list[Ref] = []
     for m in _DEF["class"].finditer(clean):
@@ -194,11 +197,15 @@ def _run(which: int, schema: str):
 
 
 def _texts(sources: DataFrame) -> DataFrame:
-    return sources.filter("path is not null").select("path", "content").dropDuplicates(["path"]).select("path", "content", language(F.col("path")).alias("language"))
+    """Each path once with its language. Only paths are shuffled to find those that repeat; of the contents of such a path the largest is taken."""
+    rows = sources.filter("path is not null").select("path", "content")
+    again = small(rows.select("path").groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path"))
+    once, many = rows.join(again, "path", "left_anti"), rows.join(again, "path", "left_semi").groupBy("path").agg(F.max("content").alias("content"))
+    return once.unionByName(many).select("path", "content", language(F.col("path")).alias("language"))
 
 
 def extract_nodes(sources: DataFrame) -> DataFrame:
-    """Nodes of ``sources`` (path, content); of several contents of a path one is taken."""
+    """Nodes of ``sources`` (path, content); of several contents of a path the largest is taken."""
     return _texts(sources).mapInPandas(_run(0, NODE_OUT), NODE_OUT)
 
 

@@ -161,6 +161,20 @@ def test_cognitive_complexity(spark):
         assert r.c == brute(re.findall(code.WORD_OR_SIGN, r.body), r.language)
 
 
+def test_words_of_each_language_count(spark):
+    bodies = [
+        ("def f\n  return 1 unless x\n  case y when 1 then 2 when 3 then 4 end\nensure\n  z\nend", "ruby", 1 + 1 + 2 + 1 + 2), ("function f() { foreach (x) {} if (a) {} elseif (b) {} switch (c) { case 1: } }", "php", 1 + 1 + 1 + 1 + 1),
+        ("fn f() { match x { _ => 1 } loop { } }", "rust", 3), ("func f() { for range x { } switch y { case 1: fallthrough } }", "go", 1 + 2 + 1 + 1), ("int f() { return a ? 1 : 2; }", "java", 2), ("foreach match ensure case", "python", 1), ("case case", "other", 1),
+    ]
+    df = spark.createDataFrame(bodies, "body string, language string, want int").withColumn("t", code.words_and_signs(F.col("body")))
+    for r in df.select("want", "language", code.cyclomatic(F.col("t"), F.col("language")).alias("got")).collect():
+        assert r.got == r.want, r.language
+    volume, _ = code.halstead(F.col("t"), F.col("language"))
+    one = spark.createDataFrame([("let x", "rust"), ("let x", "javascript"), ("let x", "go")], "body string, language string").withColumn("t", code.words_and_signs(F.col("body")))
+    # one operator and one operand, or two operands: the volume is the same, the difficulty is not
+    assert {r.language: r.d > 0 for r in one.select("language", code.halstead(F.col("t"), F.col("language"))[1].alias("d")).collect()} == {"rust": True, "javascript": True, "go": False}
+
+
 def test_similarity_join_is_exact(spark):
     r = random.Random(2)
     base = [[f"w{r.randrange(40)}" for _ in range(12)] for _ in range(6)]
