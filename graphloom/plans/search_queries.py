@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.cluster import cut
 from graphloom.functions import code
 from graphloom.graph import PropertyGraph
-from graphloom.operators import analytics, crosstier, diff, search, similarity, traverse
+from graphloom.operators import analytics, crosstier, diff, resolve, search, similarity, traverse
 from graphloom.plans.analytics_queries import _TOKENS_SQL
 from graphloom.plans.base import Query, graph_sql
 from graphloom.plans.graph_queries import _SEEDS, _removed
@@ -365,4 +365,10 @@ def extract_edges(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_edges(table(spark, d, "sources")).select("source", "target", "target_text", "kind", "source_loc", "provenance")
 
 
-QUERIES |= {"extract_nodes": extract_nodes, "extract_edges": extract_edges}
+def resolve_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of all source files, resolved among them by the module rules of each language."""
+    sources = table(spark, d, "sources")
+    return resolve.resolve_imports(cut(extract.extract_nodes(sources).select("id", "kind", "name", "file_path", "language")), extract.extract_edges(sources))
+
+
+QUERIES |= {"extract_nodes": extract_nodes, "extract_edges": extract_edges, "resolve_imports": resolve_imports}

@@ -67,3 +67,25 @@ def test_scan(spark, tmp_path):
     big = {r.path: r.content for r in files.scan(spark, str(tmp_path), glob="*.py", max_bytes=2).collect()}
     assert big == {"a.py": None}
     assert [r[0] for r in spark.createDataFrame([("a.PY",), ("b",), (None,)], "p string").select(files.language(F.col("p"))).collect()] == ["python", None, None]
+
+
+def test_imports_are_resolved(spark, rows):
+    from graphloom.operators import resolve
+
+    src = [
+        ("r/src/pkg/a.py", "import os\nimport pkg.b\nfrom pkg.c import thing, nothing\nfrom . import b\nfrom .c import thing\nfrom ..up import far\nimport pkg.gone\n"), ("r/src/pkg/b.py", "x = 1\n"), ("r/src/pkg/c.py", "def thing():\n    pass\n"), ("r/src/pkg/__init__.py", ""), ("r/src/up.py", "def far():\n    pass\n"),
+        ("q/lib/pkg/b.py", "y = 1\n"), ("q/app.py", "import pkg.b\n"), ("r/w/x.ts", "import { y } from './y';\nimport z from '../z.js';\nimport React from 'react';\nimport n from './none';\n"), ("r/w/y/index.ts", "export const y = 1;\n"), ("r/z.js", "export default 1;\n"),
+        ("r/j/net/own/A.java", "package net.own;\nimport net.own.B;\nimport java.util.List;\nimport static net.own.B.make;\npublic class A {\n}\n"), ("r/j/net/own/B.java", "package net.own;\npublic class B {\n  static int make() {\n    return 1;\n  }\n}\n"),
+        ("r/g/main.go", 'package main\n\nimport (\n\t"fmt"\n\t"own.dev/r/g/kit"\n)\n\nfunc main() {\n}\n'), ("r/g/kit/k.go", "package kit\n"), ("r/g/kit/a.go", "package kit\n"),
+    ]
+    df = spark.createDataFrame([*src, src[0], (None, "import os")], "path string, content string")
+    nodes, edges = extract.extract_nodes(df), extract.extract_edges(df)
+    name = {r.id: r.qualified_name for r in nodes.collect()}
+    got = sorted(((name[r.source], r.target_text.partition(":")[2], name.get(r.target), r.provenance) for r in resolve.resolve_imports(nodes, edges).collect()), key=lambda x: (x[0], x[1], x[2] or "", x[3]))
+    a, b, j = "r/src/pkg/a.py", "r/src/pkg/b.py", "r/j/net/own"
+    assert got == sorted([
+        (a, "os", None, "external"), (a, "pkg.b", b, "resolved"), (a, "pkg.c.thing", "r/src/pkg/c.py::thing", "resolved"), (a, "pkg.c.nothing", None, "unresolved"), (a, ".b", b, "resolved"), (a, ".c.thing", "r/src/pkg/c.py::thing", "resolved"), (a, "..up.far", "r/src/up.py::far", "resolved"), (a, "pkg.gone", None, "unresolved"),
+        ("q/app.py", "pkg.b", "q/lib/pkg/b.py", "resolved"), ("r/w/x.ts", "./y", "r/w/y/index.ts", "resolved"), ("r/w/x.ts", "../z.js", "r/z.js", "resolved"), ("r/w/x.ts", "react", None, "external"), ("r/w/x.ts", "./none", None, "unresolved"),
+        (f"{j}/A.java", "net.own.B", f"{j}/B.java", "resolved"), (f"{j}/A.java", "java.util.List", None, "external"), (f"{j}/A.java", "net.own.B.make", f"{j}/B.java::B.make", "resolved"), ("r/g/main.go", "fmt", None, "external"), ("r/g/main.go", "own.dev/r/g/kit", "r/g/kit/a.go", "resolved"),
+    ], key=lambda x: (x[0], x[1], x[2] or "", x[3]))
+    assert {x[3] for x in got} == {"resolved", "external", "unresolved"} and rows(resolve.resolve_imports(nodes.limit(0), edges.limit(0))) == []
