@@ -24,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,13 +218,19 @@ def vocabulary(name: str = RANKS, folder: str = TOKENIZERS) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def _ship(df: DataFrame, path: str) -> str:
+    """Send the vocabulary file to the executors, which need not share the driver's folders; its name there."""
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode(df: DataFrame, key: str, text: str, path: str | None = None, out: str = "ids") -> DataFrame:
     """``key`` and the ids of ``text``, each row on its own: no shuffle, one pass, memory of one Arrow batch."""
-    path = path or vocabulary()
+    name = _ship(df, path or vocabulary())
     key_type = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         get, split = enc.__getitem__, enc.split
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -247,10 +254,10 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, out: str
 
 def round_trip(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``key``, tokens, same: whether streaming decode gives back the text."""
-    path = path or vocabulary()
+    name = _ship(df, path or vocabulary())
 
     def run(frames):
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for pdf in frames:
             ids = [enc.encode(t) for t in pdf["text"]]
             same = ["".join(decode(enc.machine, i)) == (t or "") for i, t in zip(ids, pdf["text"])]
