@@ -51,7 +51,7 @@ def _fts(query: str, keep: str = "") -> list[str]:
 _Q = "merge rows"
 add("search_fts", lambda g: search.search_text(g, _Q).select("id", F.round("rank", 6).alias("rank")), graph_sql("SELECT id, round(rank, 6) AS rank FROM fts", *_fts(_Q)))
 add("search_like", lambda g: search.search_like(g, "Cache_"), graph_sql("SELECT id FROM n WHERE coalesce(name ILIKE '%Cache_%', false) OR coalesce(qualified_name ILIKE '%Cache_%', false)"))
-add("search_fuzzy", lambda g: search.search_fuzzy(g, "sealHeapp"), graph_sql("SELECT id, levenshtein(lower(name), 'sealheapp') AS distance FROM n WHERE lower(name[1]) = 's' AND levenshtein(lower(name), 'sealheapp') <= 2"))
+add("search_fuzzy", lambda g: search.search_fuzzy(g, "vendRs"), graph_sql("SELECT id, levenshtein(lower(name), 'vendrs') AS distance FROM n WHERE lower(name[1]) = 'v' AND levenshtein(lower(name), 'vendrs') <= 2"))
 add("search_cascade", lambda g: search.cascade(g, "flushTabel"), graph_sql(
     "SELECT id, tier FROM a WHERE tier = (SELECT min(tier) FROM a)", *_fts("flushTabel"),
     "a AS (SELECT id, 1 AS tier FROM fts UNION ALL SELECT id, 2 FROM n WHERE coalesce(name ILIKE '%flushTabel%', false) OR coalesce(qualified_name ILIKE '%flushTabel%', false) UNION ALL SELECT id, 3 FROM n WHERE lower(name[1]) = 'f' AND levenshtein(lower(name), 'flushtabel') <= 2)"))
