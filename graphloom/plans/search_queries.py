@@ -272,31 +272,42 @@ UNION ALL SELECT constant, key, 'prefix', 0.7 FROM c JOIN k ON lower(key) = repl
 UNION ALL SELECT constant, key, 'contains', 0.5 FROM c JOIN k ON lower(constant) <> lower(key) AND (contains(lower(key), lower(constant)) OR contains(lower(constant), lower(key))) AND len(list_intersect(regexp_extract_all(lower(constant), '([a-z]{3,})', 1), regexp_extract_all(lower(key), '([a-z]{3,})', 1))) > 0""", whole=True)
 
 
+#: Calls that send an event or message under a literal name, and those that wait for one; what only writes to a console sends none.
+EMITS = r"""\b(?:emit|emitAsync|publish|dispatch|dispatchEvent|sendMessage|produce)\(\s*(?:new\s+\w*Event\(\s*)?['"]([^'"]+)['"]"""
+LISTENS = r"""(?:\.(?:on|once|subscribe|addListener|addEventListener|consume)\(|@(?:EventListener|OnEvent|Subscribe|MessagePattern|KafkaListener)\()\s*['"]([^'"]+)['"]"""
+
+
 def _channels(g: PropertyGraph) -> DataFrame:
     """id, kind, name: what bodies emit or listen for, and remote stubs they make, by call patterns."""
     f = analytics.functions(g, "body").filter("body is not null")
     found = F.array_union(
-        F.transform(F.regexp_extract_all("body", F.lit(r"""\b(?:console|emit|publish|dispatch)\.?(?:warn|log|emit|publish)?\(\s*['"]([^'"]+)['"]"""), 1), lambda x: F.struct(F.lit("emits").alias("kind"), x.alias("name"))),
-        F.transform(F.regexp_extract_all("body", F.lit(r"""\.(?:on|once|subscribe|addListener)\(\s*['"]([^'"]+)['"]"""), 1), lambda x: F.struct(F.lit("listens_on").alias("kind"), x.alias("name"))),
+        F.transform(F.regexp_extract_all("body", F.lit(EMITS), 1), lambda x: F.struct(F.lit("emits").alias("kind"), x.alias("name"))),
+        F.transform(F.regexp_extract_all("body", F.lit(LISTENS), 1), lambda x: F.struct(F.lit("listens_on").alias("kind"), x.alias("name"))),
     )
     return f.select("id", F.explode(found).alias("r")).select("id", "r.kind", "r.name").distinct()
 
 
 add("channel_edges", _channels, graph_sql(
-    r"""SELECT DISTINCT id, 'emits' AS kind, unnest(regexp_extract_all(body, '\b(?:console|emit|publish|dispatch)\.?(?:warn|log|emit|publish)?\(\s*[''"]([^''"]+)[''"]', 1)) AS name FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL
-    UNION SELECT DISTINCT id, 'listens_on', unnest(regexp_extract_all(body, '\.(?:on|once|subscribe|addListener)\(\s*[''"]([^''"]+)[''"]', 1)) FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL"""))
+    f"""SELECT DISTINCT id, 'emits' AS kind, unnest(regexp_extract_all(body, '{EMITS.replace("'", "''")}', 1)) AS name FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL
+    UNION SELECT DISTINCT id, 'listens_on', unnest(regexp_extract_all(body, '{LISTENS.replace("'", "''")}', 1)) FROM n WHERE kind IN ('function', 'method') AND body IS NOT NULL"""))
+
+#: Ways code names a remote service: what serves it, and what calls it, by a stub or by the factory of one.
+SERVES = r"\b(\w+)(?:Servicer|ServiceImplBase|ImplBase)\b"
+CALLS_BY_STUB, CALLS_BY_FACTORY = r"\b([A-Z]\w*?)(?:BlockingStub|FutureStub|Stub)\s*\(", r"\b(\w+)Grpc\.new\w*Stub\s*\("
+
 
 def _grpc(g: PropertyGraph) -> DataFrame:
     """id, kind, name: remote services that symbols serve (servicers, service bases) or call (stubs), by how their code names them."""
     n = g.nodes("kind", "name", "body", "signature").filter("kind in ('class', 'function', 'method')")
     text = F.concat_ws(" ", F.coalesce("signature", F.lit("")), F.coalesce("body", F.lit("")))
-    serve = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\w+)(?:Servicer|ServiceImplBase|ImplBase)\b"), 1), lambda x: F.struct(F.lit("grpc_server").alias("kind"), x.alias("name")))
-    call = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\w+?)(?:BlockingStub|FutureStub|Stub)\s*\("), 1), lambda x: F.struct(F.lit("grpc_client").alias("kind"), x.alias("name")))
-    return n.select("id", F.explode(F.array_union(serve, call)).alias("r")).select("id", "r.kind", "r.name").distinct()
+    named = lambda pattern, kind: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    found = F.concat(named(SERVES, "grpc_server"), named(CALLS_BY_STUB, "grpc_client"), named(CALLS_BY_FACTORY, "grpc_client"))
+    return n.select("id", F.explode(found).alias("r")).select("id", "r.kind", "r.name").distinct()
 
 
 add("grpc_edges", _grpc, graph_sql(
-    r"""SELECT DISTINCT id, 'grpc_server' AS kind, unnest(regexp_extract_all(t, '\b(\w+)(?:Servicer|ServiceImplBase|ImplBase)\b', 1)) AS name FROM s UNION SELECT DISTINCT id, 'grpc_client', unnest(regexp_extract_all(t, '\b(\w+?)(?:BlockingStub|FutureStub|Stub)\s*\(', 1)) FROM s""",
+    f"""SELECT DISTINCT id, 'grpc_server' AS kind, unnest(regexp_extract_all(t, '{SERVES}', 1)) AS name FROM s UNION SELECT DISTINCT id, 'grpc_client', unnest(regexp_extract_all(t, '{CALLS_BY_STUB}', 1)) FROM s
+    UNION SELECT DISTINCT id, 'grpc_client', unnest(regexp_extract_all(t, '{CALLS_BY_FACTORY}', 1)) FROM s""",
     "s AS (SELECT id, coalesce(signature, '') || ' ' || coalesce(body, '') AS t FROM n WHERE kind IN ('class', 'function', 'method'))"))
 
 # --- federation, differences ---

@@ -390,3 +390,24 @@ def test_watch_loop_survives_a_repeated_batch(spark, rows, tmp_path):
     for batch, number in ((one, 0), (two, 1), (two, 1), (one, 0), (one.limit(0), 2)):
         merge(batch, number)
     assert rows(p.read("state").select("key", "value")) == [("a", "2"), ("b", "3"), ("c", "1")] and rows(p.read("output")) == []
+
+
+def test_channels_and_remote_services(spark, rows, tmp_path):
+    """Events sent and awaited, and remote services served and called, in planted bodies; a console sends nothing."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    bodies = {
+        "a": "bus.emit('job.done', x); console.log('job.done')", "b": "bus.on('job.done', f); el.addEventListener(\"click\", g)", "c": "target.dispatchEvent(new CustomEvent('opened'))", "d": "@KafkaListener('orders') void f() {}", "e": "emit(name)",
+        "f": "class S(order_pb2_grpc.OrderServicer):\n  pass", "g": "stub = order_pb2_grpc.OrderStub(channel)", "h": "class T extends OrderGrpc.OrderImplBase {}", "i": "OrderGrpc.newBlockingStub(c)", "j": "return 1", "k": None,
+    }
+    d = stored(spark, tmp_path, ("id kind name qualified_name body updated_at", [(k, "function", k, k, v, 1) for k, v in bodies.items()]), ("id source target kind", [(1, "a", "b", "calls")]))
+    q, sql = entry.queries(), entry.oracle_sql()
+    assert rows(q["channel_edges"](spark, d)) == [("a", "emits", "job.done"), ("b", "listens_on", "click"), ("b", "listens_on", "job.done"), ("c", "emits", "opened"), ("d", "listens_on", "orders")]
+    assert rows(q["grpc_edges"](spark, d)) == [("f", "grpc_server", "Order"), ("g", "grpc_client", "Order"), ("h", "grpc_server", "Order"), ("i", "grpc_client", "Order")]
+    con = duckdb.connect()
+    for t in ("nodes", "edges"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    for name in ("channel_edges", "grpc_edges"):
+        assert sorted(con.execute(sql[name]).fetchall()) == [tuple(r) for r in rows(q[name](spark, d))]
