@@ -24,7 +24,7 @@ def p1_source_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return validity.unparsable(table(spark, d, "sources"), table(spark, d, "files")).select("path")
+    return validity.flagged(table(spark, d, "sources"), table(spark, d, "files")).filter("bad").select("path").distinct()
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:

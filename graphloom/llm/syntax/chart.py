@@ -5,7 +5,8 @@ constituent of its own: it is parsed once for each start symbol it is asked for,
 chart whichever file they stand in. The cost of a sequence under a symbol is the least number of insertions, deletions
 and replacements of tokens that makes it derivable, where a bracketed part is kept and repaired within, or goes or comes as a
 whole with all its tokens: :meth:`Grammar.accepts` is the layer of cost nothing of that chart, :meth:`Grammar.repair` the
-layers above it, one after the other until one holds a repair.
+layers above it, one after the other until one holds a repair. What is asked for in the end, :meth:`Grammar.cheapest`, is exact and has
+no bound: it takes the table of all spans (:mod:`graphloom.llm.syntax.table`), and the layers where a sequence is too long for that.
 
 Nesting may be of any depth: groups know their height, and deep ones are decided from the inside out.
 """
@@ -15,10 +16,14 @@ from __future__ import annotations
 import re
 from itertools import count
 
+from graphloom.llm.syntax.table import Solved, Table
+
 #: Entries a worker keeps before the shared chart is started anew, between two files; results do not depend on it.
 KEPT = 300_000
 #: Levels of nesting decided by one recursion.
 LEVELS = 100
+#: Tokens of a group whose repairs are sought without asking whether they matter.
+WIDE = 64
 
 _numbers = count()
 _known: dict[tuple, int] = {}
@@ -27,7 +32,7 @@ _known: dict[tuple, int] = {}
 class Group:
     """A bracketed part. Equal parts have one number, whichever file they stand in; ``offsets`` are those of this one's content."""
 
-    __slots__ = ("open", "content", "at", "offsets", "number", "height", "size")
+    __slots__ = ("open", "content", "at", "offsets", "number", "height", "size", "widest")
 
     def __init__(self, open_: str, content: tuple, at: int, offsets: tuple = ()) -> None:
         self.open, self.content, self.at, self.offsets = open_, content, at, offsets
@@ -37,6 +42,7 @@ class Group:
         self.number = _known.setdefault(key, next(_numbers)) if number is None else number
         self.height = 1 + max((t.height for t in inner), default=0)
         self.size = 2 + len(content) - len(inner) + sum(t.size for t in inner)
+        self.widest = max(len(content), max((t.widest for t in inner), default=0))
 
     def __hash__(self) -> int:
         return self.number
@@ -75,6 +81,8 @@ class Grammar:
         self._memo: dict[tuple, int] = {}
         self._inner: dict[tuple[str, int], bool] = {}
         self._costs: dict[tuple[str, int], tuple] = {}
+        self._solved: dict[int, dict[str, Solved]] = {}
+        self._table: Table | None = None
         self.left_items = 0
 
     # --- grammar text ---
@@ -219,11 +227,12 @@ class Grammar:
 
     def begin_file(self, seq: tuple) -> None:
         """Forget what was kept if it is much, and decide deep groups from the inside out."""
-        if len(self._memo) + len(self._inner) + len(self._costs) + len(_known) > KEPT:
+        if len(self._memo) + len(self._inner) + len(self._costs) + len(self._solved) + len(_known) > KEPT:
             _known.clear()  # numbers are never given twice
             self._memo.clear()
             self._inner.clear()
             self._costs.clear()
+            self._solved.clear()
         deep = [t for t in seq if t.__class__ is Group and t.height > LEVELS]
         order = []
         while deep:
@@ -338,10 +347,13 @@ class Grammar:
 
     def cost_within(self, symbol: str, group: Group, limit: int) -> tuple[int, tuple] | None:
         """(edits, path of the first one) that make the content of a group derive from ``symbol``, None if it takes more than ``limit``."""
+        solved = self._solved.get(group.number)
+        if solved is not None:
+            return (solved[symbol].cost, self._path(solved[symbol], group.content, {})) if solved[symbol].cost <= limit else None
         key = (symbol, group.number)
         found, tried = self._costs.get(key, (None, -1))
         if found is None and tried < limit:
-            found = (0, NOWHERE) if self._matches(f"{group.open}<{symbol}>", group) else self.listed(symbol, group.content, limit) if limit else None
+            found = (0, NOWHERE) if self._matches(f"{group.open}<{symbol}>", group) else self.repair(symbol, group.content, limit) if limit else None
             self._costs[key] = (found, limit)
         return found if found is not None and found[0] <= limit else None
 
@@ -470,56 +482,89 @@ class Grammar:
             ps = self.predicts[(s, cls)] = [p for p in self.starts[s] if self.begin[p] is None or cls in self.begin[p]]
         return ps
 
-    def _runs(self, start: str, seq: tuple, last: bool) -> list[tuple[int, int]]:
-        """Where a constituent is at fault: of a list each run of faulty elements with the one before and the one behind it, else all of it."""
-        element = self.lists.get(start)
-        if element is None:
-            return [(0, len(seq))]
-        parts = self.elements(seq)
-        ends, at = [], 0
-        for part in parts:
-            at += len(part)
-            ends.append(at)
-        bad = [k for k, part in enumerate(parts) if self.farthest(element, part, last and ends[k] == len(seq)) >= 0]
-        runs: list[list[int]] = []
-        for k in bad or range(len(parts)):
-            if runs and k - 1 <= runs[-1][1] + 1:
-                runs[-1][1] = min(k + 1, len(parts) - 1)
+    def _path(self, r: Solved, seq: tuple, solved: dict[int, dict[str, Solved]]) -> tuple:
+        """The path of the first edit of a repair of ``seq``."""
+        path = []
+        while r.cost:
+            path.append(r.at)
+            if r.within is None:
+                return tuple(path)
+            if r.within.__class__ is tuple:
+                return (*path, *r.within)
+            group = seq[r.at]
+            r, seq = (solved.get(group.number) or self._solved[group.number])[r.within], group.content
+        return NOWHERE
+
+    def _row(self, seq: tuple, solved: dict[int, dict[str, Solved]]) -> list[tuple[str | None, int, dict[str, Solved]]]:
+        out = []
+        for t in seq:
+            if t.__class__ is Group:
+                known = self._solved.get(t.number)
+                known = solved[t.number] if known is None else known
+                out.append((None, t.size, {f"'{t.open}<{s}>": r for s, r in known.items()}))
             else:
-                runs.append([max(0, k - 1), min(k + 1, len(parts) - 1)])
-        return [(ends[low - 1] if low else 0, ends[high]) for low, high in runs] or [(0, 0)]
-
-    def listed(self, start: str, seq: tuple, limit: int, last: bool = True) -> tuple[int, tuple] | None:
-        """(cost, path of the first edit) of the cheapest repair run by run, None if it takes more than ``limit`` edits."""
-        total, where = 0, NOWHERE
-        for begin, end in self._runs(start, seq, last):
-            found = None
-            for k in range(1, limit - total + 1):
-                found = self.repair(start, seq[begin:end], k, last and end == len(seq))
-                if found is not None:
-                    break
-            if found is None:
-                return None
-            if found[0]:
-                total, where = total + found[0], min(where, (found[1][0] + begin, *found[1][1:]))
-        return total, where
-
-    def cheapest(self, start: str, seq: tuple, items: int, upto: int | None = None) -> tuple[int, tuple, bool]:
-        """(cost, path of the first edit, whether it is exact) of the cheapest repair with up to ``upto`` edits a run. Where ``items`` of
-        the chart do not suffice the cost is a bound from below."""
-        self.left_items = items
-        total, where, exact = 0, NOWHERE, True
-        for begin, end in self._runs(start, seq, True):
-            found, limit = None, 1
-            while found is None and (upto is None or limit <= upto):
-                try:
-                    found = self.repair(start, seq[begin:end], limit, end == len(seq))
-                except Exhausted:
-                    break
-                limit += found is None
+                out.append((t, 1, {}))
+        return out
+
+    def _below(self, seq: tuple) -> list[Group]:
+        """The different groups below a sequence, from the inside out."""
+        todo, found = [t for t in seq if t.__class__ is Group], {}
+        while todo:
+            t = todo.pop()
+            if t.number not in found and t.number not in self._solved:
+                found[t.number] = t
+                todo.extend(x for x in t.content if x.__class__ is Group)
+        return sorted(found.values(), key=lambda t: t.height)
+
+    def _bounded(self, t: Group, symbols: list[str], limit: int) -> tuple[dict[str, Solved], dict[str, Solved]]:
+        """Repairs of a group from below and from above where only those of up to ``limit`` edits are sought."""
+        known = {s: r for s in symbols if (r := self.cost_within(s, t, limit)) is not None}
+        ranks = {path: k for k, path in enumerate(sorted({path for cost, path in known.values() if cost}), 2)}
+        high = {s: Solved(cost, ranks[path], path[0], path[1:] or None) if cost else Solved(0, 0, 0, None) for s, (cost, path) in known.items()}
+        return {s: high.get(s) or Solved(limit + 1, 1, 0, ()) for s in symbols}, high
+
+    def _tabled(self, table: Table, start: str, seq: tuple) -> tuple[int, tuple]:
+        """(cost, path of the first edit). Long groups that derive from what they may be asked for, and groups too long for a table, are
+        first given bounds: where those leave the result open they are narrowed, until both give the same."""
+        limit = 0
+        while True:
+            low: dict[int, dict[str, Solved]] = {}
+            high: dict[int, dict[str, Solved]] = {}
+            for t in self._below(seq):
+                symbols = [s[2:-1] for s in self.asked.get(t.open, ())]
+                n = len(t.content)
+                if not table.fits(n) or (not limit and n > WIDE and any(self.cost_within(s, t, 0) for s in symbols)):
+                    low[t.number], high[t.number] = self._bounded(t, symbols, limit)
+                elif any(x.number in low for x in t.content if x.__class__ is Group):
+                    low[t.number], high[t.number] = (table.solve(self._row(t.content, b), symbols) for b in (low, high))
+                else:
+                    self._solved[t.number] = table.solve(self._row(t.content, {}), symbols)
+            r = table.solve(self._row(seq, high), [start])[start]
+            found = r.cost, self._path(r, seq, high)
+            if not low:
+                return found
+            r = table.solve(self._row(seq, low), [start])[start]
+            if found == (r.cost, self._path(r, seq, low)):
+                return found
+            limit += max(1, limit // 2)
+
+    def cheapest(self, start: str, seq: tuple, items: int | None = None) -> tuple[int, tuple, bool]:
+        """(cost, path of the first edit, whether it is exact) of the cheapest repair. Only a search that is given a number of chart
+        ``items`` may end with a bound from below instead."""
+        self.left_items = FAR * FAR if items is None else items
+        if items is None:
+            table = self._table = self._table or Table(self)
+            if table.fits(len(seq)):
+                return *self._tabled(table, start, seq), True
+            for t in self._below(seq):
+                if t.widest <= WIDE:
+                    self._solved[t.number] = table.solve(self._row(t.content, {}), [s[2:-1] for s in self.asked.get(t.open, ())])
+        found, refuted, limit = None, 0, 1
+        while found is None:
+            try:
+                found = self.repair(start, seq, limit)
+            except Exhausted:
+                return refuted + 1, (0,), False
             if found is None:
-                exact = False
-                found = (limit, (0,))
-            if found[0]:
-                total, where = total + found[0], min(where, (found[1][0] + begin, *found[1][1:]))
-        return total, where, exact
+                refuted, limit = limit, limit + max(1, limit // 2)  # whatever the limit, what is found is the cheapest
+        return *found, True

@@ -250,32 +250,32 @@ def _fields(text: str, i: int, quote: str, raw: bool, out: list[tuple[str, int]]
 class _Level:
     """Tokens of an open bracket with their offsets."""
 
-    __slots__ = ("open", "at", "tokens", "offsets")
+    __slots__ = ("open", "at", "tokens", "offsets", "whole")
 
-    def __init__(self, open_: str, at: int) -> None:
-        self.open, self.at, self.tokens, self.offsets = open_, at, [], []
+    def __init__(self, open_: str, at: int, whole: bool = False) -> None:
+        self.open, self.at, self.tokens, self.offsets, self.whole = open_, at, [], [], whole
 
     def add(self, token: object, at: int) -> None:
         self.tokens.append(token)
         self.offsets.append(at)
 
     def close(self) -> tuple[tuple, tuple]:
-        tokens, offsets = _short(self.tokens, self.offsets)
+        tokens, offsets = (self.tokens, self.offsets) if self.whole else _short(self.tokens, self.offsets)
         return tuple(tokens), tuple(offsets)
 
     def group(self) -> Group:
         return Group(self.open, (c := self.close())[0], self.at, c[1])
 
 
-def nest(flat: list[tuple[str, int]], size: int) -> tuple[tuple, tuple, int, int | None, int]:
+def nest(flat: list[tuple[str, int]], size: int, whole: bool = False) -> tuple[tuple, tuple, int, int | None, int]:
     """Groups of the flat tokens and their offsets; edits, offset of the first, and how many insert at the end."""
     stack: list[_Level] = []
-    now = _Level("", 0)
+    now = _Level("", 0, whole)
     edits, first, at_end = 0, None, 0
     for k, at in flat:
         if k in CLOSE:
             stack.append(now)
-            now = _Level(k, at)
+            now = _Level(k, at, whole)
         elif k in OPEN:
             if now.open == OPEN[k] or (stack and stack[-1].open == OPEN[k]):
                 while True:
@@ -300,7 +300,7 @@ def nest(flat: list[tuple[str, int]], size: int) -> tuple[tuple, tuple, int, int
 
 
 def _short(seq: list, offsets: list) -> tuple[list, list]:
-    """Long runs of literals parted by commas, cut to a few: the grammars take any number."""
+    """Long runs of literals parted by commas, cut to a few: the grammars take any number. Only whether a text derives may be asked of it."""
     if len(seq) < 12:
         return seq, offsets
     out: list = []
@@ -316,19 +316,19 @@ def _short(seq: list, offsets: list) -> tuple[list, list]:
     return out, at
 
 
-def read(text: str, language: str) -> Nested:
-    """Nested tokens of a text in the base language (js for TypeScript too)."""
+def read(text: str, language: str, whole: bool = False) -> Nested:
+    """Nested tokens of a text in the base language (js for TypeScript too), ``whole`` or with long runs cut."""
     base = "js" if language in ("javascript", "typescript") else language
     flat, markers, faults = tokens(text, base)
     if base == "python":
-        return _layout(text, flat, markers, faults)
+        return _layout(text, flat, markers, faults, whole)
     if base == "js":
         flat = _js_ends(flat)
     elif base == "go":
         flat = _go_ends(flat)
     else:
         flat = [t for t in flat if t[0] != "NL"]
-    seq, offsets, edits, first, at_end = nest(flat, len(text))
+    seq, offsets, edits, first, at_end = nest(flat, len(text), whole)
     return Nested(seq, offsets, edits, first, at_end, markers, faults)
 
 
@@ -368,7 +368,7 @@ def _go_ends(flat: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def _layout(text: str, flat: list[tuple[str, int]], markers: int, faults: list[int]) -> Nested:
+def _layout(text: str, flat: list[tuple[str, int]], markers: int, faults: list[int], whole: bool) -> Nested:
     """Python: logical lines end with NEWLINE, indented lines form '{' groups; an indentation that fits none is a fault."""
     lines: list[tuple[int, list[tuple[str, int]]]] = []  # (column, tokens) of logical lines
     now: list[tuple[str, int]] = []
@@ -395,7 +395,7 @@ def _layout(text: str, flat: list[tuple[str, int]], markers: int, faults: list[i
         if pad.strip(" \t\f﻿"):
             pad = pad[: len(pad) - len(pad.lstrip(" \t\f"))]
         column = len(pad.replace("﻿", "").expandtabs(8))
-        seq, offsets, e, f, x = nest(line, len(text))
+        seq, offsets, e, f, x = nest(line, len(text), whole)
         edits, at_end = edits + e, at_end + (x if n == len(lines) - 1 else 0)
         first = f if first is None and f is not None else first
         if column > stack[-1][0]:

@@ -2,8 +2,9 @@
 
 Method: error-correcting chart parsing (:mod:`graphloom.llm.syntax`): tokens are nested by brackets, each constituent is
 parsed against the language's grammar, and where it does not derive the cheapest insertions, deletions and replacements are
-sought, one layer of cost after the other. A cost above nothing flags the file; where the first edit lies and what the edits
-are tells truncation (all at the end), conflict (merge markers), mismatch (the text belongs to another language) and others apart.
+sought, without a bound; who asks for flags alone seeks no repair. A cost above nothing flags the file; where the first edit
+lies and what the edits are tells truncation (all at the end), conflict (merge markers), mismatch (the text belongs to another
+language) and others apart.
 
 Each text is parsed once, where it is read: the few paths declared in another language than their extension's are looked up
 beforehand, in a table that is broadcast if it is small. Only results travel.
@@ -27,11 +28,23 @@ from graphloom.cluster import small
 from graphloom.llm.syntax import check
 
 _OUT = "path string, language string, cost int, exact boolean, cut long, cause string"
+_FLAGS = "path string, language string, bad boolean"
 
 
-def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _prepare() -> None:
     sys.setrecursionlimit(1_000_000)  # frames of nested parts live on the heap
     gc.disable()  # charts hold no cycles
+
+
+def _flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    _prepare()
+    for f in frames:
+        bad = [check.faulty(t, lang) if lang else False for t, lang in zip(f["content"], f["language"])]
+        yield pd.DataFrame({"path": f["path"], "language": f["language"], "bad": bad}).astype({"bad": bool})
+
+
+def _run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    _prepare()
     for f in frames:
         found = [check.check(t, lang) if lang else None for t, lang in zip(f["content"], f["language"])]
         yield pd.DataFrame({
@@ -59,12 +72,22 @@ def declared(files: DataFrame) -> DataFrame:
     return said.select("path", _named(check.LANGUAGES, F.col("r.language")).alias("said"), F.col("r.repo").alias("repo"))
 
 
-def checked(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """path, language, cost, exact, cut (offset of the first edit), cause of each row of ``sources``."""
+def _texts(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """path, content, language of each row of ``sources``."""
     by_name = _by_extension(F.col("path"))
     other = declared(files).filter(F.col("said").isNotNull() & ~F.col("said").eqNullSafe(by_name)).select("path", "said")
     texts = sources.filter("path is not null").select("path", "content").join(small(other), "path", "left")
-    return texts.select("path", "content", F.coalesce("said", by_name).alias("language")).mapInPandas(_run, _OUT)
+    return texts.select("path", "content", F.coalesce("said", by_name).alias("language"))
+
+
+def checked(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """path, language, cost, exact, cut (offset of the first edit), cause of each row of ``sources``."""
+    return _texts(sources, files).mapInPandas(_run, _OUT)
+
+
+def flagged(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """path, language, bad (whether it does not parse) of each row of ``sources``: no repair is sought."""
+    return _texts(sources, files).mapInPandas(_flag, _FLAGS)
 
 
 def unparsable(sources: DataFrame, files: DataFrame) -> DataFrame:
@@ -75,6 +98,6 @@ def unparsable(sources: DataFrame, files: DataFrame) -> DataFrame:
 
 def rates(sources: DataFrame, files: DataFrame) -> DataFrame:
     """repo, language, files, faulty, rate."""
-    one = checked(sources, files).groupBy("path", "language").agg(F.max((F.col("cost") > 0).cast("int")).alias("bad"))
+    one = flagged(sources, files).groupBy("path", "language").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     one = one.join(declared(files).select("path", "repo"), "path", "left").withColumn("repo", F.coalesce("repo", F.split("path", "/")[0]))
     return one.groupBy("repo", "language").agg(F.count("*").alias("files"), F.sum("bad").alias("faulty"), F.round(F.avg("bad"), 6).alias("rate"))

@@ -6,7 +6,8 @@ import warnings
 
 import pytest
 
-from graphloom.llm import validity
+from graphloom.llm import queries, validity
+from graphloom.llm.syntax import chart, table
 from graphloom.llm.syntax.chart import NOWHERE, Grammar, Group
 from graphloom.llm.syntax.check import check, language_of, repair
 
@@ -158,3 +159,47 @@ def test_files(spark, rows):
 def test_long_file():
     assert check("x = [" + "1, " * 200_000 + "]\n", "python").cost == 0
     assert check("{" * 30 + "}" * 30, "javascript").cost == 0
+
+
+def _nested(r, depth=0):
+    out = []
+    for _ in range(r.randrange(0, 6)):
+        if depth < 3 and r.random() < 0.4:
+            inner = _nested(r, depth + 1)
+            out.append(Group(r.choice("(["), inner, 1, tuple(range(len(inner)))))
+        else:
+            out.append(r.choice("xfg+;,yz"))
+    return tuple(out)
+
+
+@pytest.mark.parametrize("wide, fits", [(64, 99), (0, 99), (2, 3), (1, 1), (0, 2)])
+def test_table_bounds_and_layers_agree(monkeypatch, wide, fits):
+    """The table of spans, bounds of long groups, and layers for what has no table give the same cost and place."""
+    text = "s := st*\nst := e eos\neos := ';' | ENDMARK\ne := 'x' | 'f' (<args> | e '+' e | (<e> | 'g' (<p>\np := 'x'* 'y'\nargs := (e (',' e)*)?\n"
+    g, layers, r = Grammar(text), Grammar(text), random.Random(11)
+    monkeypatch.setattr(chart, "WIDE", wide)
+    monkeypatch.setattr(table, "BYTES", 4 * fits * (fits + 1) * len(table.Table(g).left))
+    for _ in range(100):
+        seq = _nested(r)
+        assert g.cheapest("s", seq) == layers.cheapest("s", seq, 10**9)
+
+
+@pytest.mark.parametrize("language, text, cost", [
+    ("javascript", "f(a b c d e g h i j k);\n" * 3, 15), ("java", "class A { void f() { int x = = 1; g(1 2 3 4 5 6); } }\n" + "class B { int = 1; }\n" * 6, 10),
+    ("json", f"[{', '.join('1' * 20)}] [{', '.join('1' * 20)}]", 41), ("python", "def f(x):\n    return x +\n" * 9, 9),
+])
+def test_every_cost_is_exact(language, text, cost):
+    """However many edits it takes; what goes counts with all its tokens. Every second argument becomes a comma."""
+    found = check(text, language)
+    assert found.exact and found.cost == cost
+
+
+def test_causes_sum_exact_costs(spark, tmp_path):
+    """Texts of another language too."""
+    texts = {"a.py": "import { a } from 'b';\nfunction f() { return 1; }\nconst x = 2;\n", "b.py": "def f(x):\n    return x +\n" * 9, "c.js": "f(a b c d e g h i j k);\n" * 3, "d.js": "let a = 1\n"}
+    spark.createDataFrame(list(texts.items()), "path string, content string").write.parquet(str(tmp_path / "sources.parquet"))
+    spark.createDataFrame([], "path string, language string, indexed_at long, repo string").write.parquet(str(tmp_path / "files.parquet"))
+    got = {(r.language, r.cause): (r.files, r.edits, r.exact_files) for r in queries.p5_causes(spark, str(tmp_path)).collect()}
+    assert got == {("python", "mismatch"): (1, check(texts["a.py"], "python").cost, 1), ("python", "edit"): (1, 9, 1), ("javascript", "edit"): (1, 15, 1)}
+    assert got[("python", "mismatch")][1] > 5
+    assert {r.path for r in queries.p5_found(spark, str(tmp_path)).collect()} == {"a.py", "b.py", "c.js"}
