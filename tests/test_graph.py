@@ -192,6 +192,45 @@ def test_similarity_join_is_exact(spark):
     assert all(per[a]["class"] == per[b]["class"] for a, b in want)
 
 
+def test_clones_of_a_long_chain_take_few_jobs(spark):
+    """Each set is similar to the next only: one class, in as many jobs as for a short chain."""
+    chain = [(f"{(i * 37) % 400:03}", [f"w{x}" for x in range(i, i + 10)]) for i in range(400)]
+    sc = spark.sparkContext
+    sc.setJobGroup("chain", "")
+    got = similarity.clones(spark.createDataFrame(chain, "id string, items array<string>")).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("chain"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {x["class"] for x in got} == {"000"} and sorted(x.links for x in got) == [1, 1, *[2] * 398] and {x.copies for x in got} == {1}
+    assert jobs < 60
+
+
+@pytest.mark.parametrize(("rows", "links"), [(50_000, 4_000_000), (5, 20), (2, 1)])
+def test_clones_in_small_parts(spark, monkeypatch, rows, links):
+    """Groups that are split, forests that are merged in several steps or by joins: the same result as comparing all with all."""
+    for name, value in (("GROUP_ROWS", rows), ("TASK_LINKS", links)):
+        monkeypatch.setattr(similarity, name, value)
+    r = random.Random(rows)
+    base = [{f"w{r.randrange(90)}" for _ in range(r.choice((1, 2, 6, 15, 40)))} for _ in range(12)]
+    sets = {}
+    for i in range(90):
+        b = sorted(r.choice(base))
+        sets[f"s{i:02}"] = sorted(set(r.sample(b, max(1, len(b) - r.randrange(4)))) | {f"w{r.randrange(90)}" for _ in range(r.randrange(2))})
+    apart = {}
+    for k, v in sorted(sets.items()):
+        apart.setdefault(tuple(v), k)
+    near = [(a, b) for a, b in itertools.combinations(sorted(apart.values()), 2) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8 - 1e-9]
+    top = {k: k for k in apart.values()}
+    for _ in top:
+        for a, b in near:
+            top[a] = top[b] = min(top[a], top[b])
+    copies = {k: sum(x == list(v) for x in sets.values()) for v, k in apart.items()}
+    want = {(k, top[apart[tuple(v)]], copies[apart[tuple(v)]], sum(apart[tuple(v)] in p for p in near)) for k, v in sets.items()}
+    df = spark.createDataFrame(list(sets.items()), "id string, items array<string>")
+    assert len(near) > 20 and {tuple(x) for x in similarity.clones(df.repartition(3)).collect()} == want
+    alike = {(x.a, x.b): x.similarity for x in similarity.similarity_links(df.filter(F.col("id").isin(*apart.values()))).collect()}
+    assert alike == {(a, b): pytest.approx(len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))) for a, b in near}
+
+
 def test_minhash(spark):
     a, b = {f"t{i}" for i in range(60)}, {f"t{i}" for i in range(8, 60)}
     x, y = similarity.signature(a), similarity.signature(b)
