@@ -5,6 +5,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -192,6 +193,32 @@ def test_similarity_join_is_exact(spark):
     assert all(per[a]["class"] == per[b]["class"] for a, b in want)
 
 
+def _moved(spark) -> int:
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_clones_write_no_candidates(spark):
+    """Sets that share rare items and hardly more: 300,000 pairs and more meet, none of them matches, none is written."""
+    r = random.Random(5)
+    sets = [(f"{i:05}", [f"r{i % 6}", *{f"w{r.randrange(3000)}" for _ in range(10)}]) for i in range(3000)]
+    heavy = spark.createDataFrame([(k, [*v, *(f"{x}'" for x in v[1:])]) for k, v in sets], "id string, items array<string>")
+    was = _moved(spark)
+    got = similarity.clones(heavy).collect()
+    assert len(got) == 3000 and all(x.id == x["class"] and (x.copies, x.links) == (1, 0) for x in got)
+    assert _moved(spark) - was < 5_000_000
+
+
+def test_blocks_of_pairs_are_bounded(monkeypatch):
+    """The first sets have few partners, the last have many: no block holds more pairs than it may, every pair comes once."""
+    n = np.array(sorted([1, 2, 3, *[40] * 300]))
+    sketch = np.zeros(len(n), dtype=np.uint64)
+    monkeypatch.setattr(similarity, "PAIRS", 1_000)
+    blocks = list(similarity._near(n, sketch, np.arange(len(n)), 0.8))
+    got = [(i, j) for x, y in blocks for i, j in zip(x.tolist(), y.tolist())]
+    assert max(len(x) for x, _ in blocks) <= 1_000 and len(got) == len(set(got)) and set(got) >= set(itertools.combinations(range(3, 303), 2))
+
+
 def test_clones_of_a_long_chain_take_few_jobs(spark):
     """Each set is similar to the next only: one class, in as many jobs as for a short chain."""
     chain = [(f"{(i * 37) % 400:03}", [f"w{x}" for x in range(i, i + 10)]) for i in range(400)]
